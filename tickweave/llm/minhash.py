@@ -212,3 +212,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time"))
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("time") == 1)
     return out.select("doc_id", "class_id", "copy_id", "class_size", kept.alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class of near duplicates, the one with the least id; columns stay as they are."""
+    lost = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("_tw_id")).distinct()
+    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("_tw_id")), "left_anti")
