@@ -1 +1,53 @@
-STAGES = []
+"""A pipeline for a training corpus: each stage takes documents and returns what it keeps of them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickweave.llm.common import materialize
+from tickweave.llm.exact_dedup import drop_exact_duplicates
+from tickweave.llm.minhash import drop_near_duplicates
+from tickweave.llm.mixing import sample_mixture
+from tickweave.llm.queries import digest_of_encoding
+from tickweave.llm.spencode import encode_documents
+from tickweave.llm.toxicity import drop_toxic, fit_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, doesn't reject."""
+    return drop_toxic(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return drop_exact_duplicates(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled to the raked shares of source, language and topic."""
+    return sample_mixture(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each document, and digests of its text and of the text decoded from them."""
+    return digest_of_encoding(encode_documents(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("sentencepiece", sentencepiece)]
+
+#: SQL can't express the classifier, the signatures' candidates or the merges; tests compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table of documents; each one's result is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
