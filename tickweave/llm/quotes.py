@@ -70,7 +70,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     named = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     said = rows.where(named).select("conv_id", "turn", F.explode(F.split(unquoted(F.col("raw")), r"\r\n|\r|\n")).alias("body"))
     said = said.select("conv_id", "turn", passage_key(F.col("body")).alias("key")).where("key <> ''")
-    quotes = rows.where(named & has).select("conv_id", "turn", "me", F.explode(_lines(F.col("raw"))).alias("line")).where("line.level > 0")
+    quotes = rows.where(named & has).dropDuplicates(["conv_id", "turn", "me"]).select("conv_id", "turn", "me", F.explode(_lines(F.col("raw"))).alias("line")).where("line.level > 0")
     quotes = quotes.select("conv_id", "turn", "me", F.col("line.level").alias("level"), passage_key(F.col("line.body")).alias("key")).where("key <> ''")
     quotes = quotes.groupBy("conv_id", "turn", "me", "level", "key").agg(F.count("*").alias("times"))
     quotes = materialize(quotes.select("*", F.xxhash64("key").alias("h"), F.length("key").alias("size")).drop("key"), "quote-lines")
