@@ -20,7 +20,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Probability that a candidate merge is skipped, the seed, and the number of segmentations that a word can have.
 DROPOUT, SEED, VARIANTS = 0.1, 20, 8
 #: Segmentations that a worker remembers, words that are segmented at once, and bytes of texts that are encoded at once.
-REMEMBERED, MANY, TEXTS = 4_000_000, 50_000, 16 << 20
+REMEMBERED, MANY, TEXTS = 1_000_000, 50_000, 4 << 20
 #: Longer words have an agenda of their own.
 LONG = 64
 _NEVER = np.int32(2**31 - 1)
