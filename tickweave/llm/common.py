@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import bisect
+import gc
 import math
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,13 +59,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the shared table behind a frame that ``materialize`` returned, once nothing reads it any more."""
-    files = df.inputFiles()
-    for spark, path in list(_written):
-        if any(f"/{path.rsplit('/', 1)[1]}/" in f for f in files):
-            _delete(spark, path)
-            _written.remove((spark, path))
+def release_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of queries that are done and that nothing refers to any more."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_of(col: str | Column) -> Column:
@@ -91,10 +91,6 @@ def range_index(key: Column, bounds: list, literal) -> Column:
     return (F.least(whole * width, F.lit(len(bounds))) + F.when(whole < len(groups), part).otherwise(0)).cast("int")
 
 
-def range_index_py(key, bounds: list) -> int:
-    return bisect.bisect_right(bounds, key)
-
-
 def unit_hash(*cols: Column) -> Column:
     """A double in (0, 1) that depends on the columns' values alone."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) * F.lit(2.0**-53)

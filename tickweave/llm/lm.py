@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import materialize, text_of
+from tickweave.llm.common import materialize, release_shuffles, text_of
 from tickweave.llm.textnum import mix, word_hashes
 
 #: Bytes of text counted together, and the most ranges of n-gram hashes that owners hold.
@@ -193,7 +193,7 @@ def score_documents(
     answers = requests.groupBy("owner").applyInArrow(add, "owner int, block int, tune boolean, order int, counts binary, kept binary")
     answers = materialize(answers, "lm-counts")
     del requests
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the requests
+    release_shuffles(spark)
 
     sums = [int(s) for s in np.sum([_numbers(bytes(r["counts"])) for r in answers.where("block = -1").select("counts").collect()] or [np.zeros(4)], axis=0)]
     vocabulary, total, kept_vocabulary, kept_total = sums
