@@ -19,6 +19,8 @@ from tickweave.llm.textnum import mix, shingle_hashes, word_hashes
 WIDTH, SIMILAR, BANDS, ROWS = 5, 0.8, 26, 5
 #: The first strip of ranks is [0, FIRST); each next one doubles the rank. Regions looked at in one go.
 FIRST, REGIONS = 2.0**-8, 1 << 18
+#: Ranges of hashes in which the shingles that can be common to two texts are counted, a power of 2.
+PARTS = 32
 #: Members of a bucket that a later round compares with all after them, at first; each round takes four times as many.
 ROUND = 32
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -133,8 +135,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        ``bands`` keys; a pair at 0.8 shares a key with probability 1 - (1 - 0.8**rows)**bands, over 0.9999.
     3. In each bucket every member is compared with the least one by the exact similarity of their shingle sets, and
        links join nodes to components. Then, in buckets that still hold several components, further members are
-       compared with all members after them that are in other components, until no such pair is left. So large
-       groups of near copies cost a row a member, and no link between different components is passed over.
+       compared with all members after them that are in other components, until no such pair is left. Shingles that no other
+       text of these buckets has can't be common to a pair; the others are counted by range of hash, and where the lesser counts of
+       both texts don't add up to the similarity, the pair isn't made. So large groups of near copies cost about a row a member, and no link between different components is passed over.
 
     Nulls: a null text counts as empty; a null id is allowed and never the class's id unless all are null. Texts without words are
     copies of each other. A text with fewer than ``width`` words has one shingle. Of repeated rows one is
@@ -175,6 +178,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ok = [jaccard(x[i].as_py(), y[i].as_py()) >= similar for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "link"])
 
+    def spread_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)]
+            node = np.repeat(b.column(0).to_numpy(), [len(x) for x in each])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(each) if each else np.zeros(0, np.int64))], names=["node", "shingle"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole = [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)]
+            common = [x if a is None else np.setdiff1d(x, np.array(a, np.int64), assume_unique=True) for x, a in zip(whole, b.column(2).to_pylist(), strict=True)]
+            parts = np.array([np.bincount(x & (PARTS - 1), minlength=PARTS) for x in common], np.int32).reshape(-1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1) * PARTS, pa.int32()), pa.array(parts, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in whole], pa.int64()), pa.array([len(x) for x in common], pa.int64()), lists], names=["node", "size", "common", "parts"])
+
+    def bounds(some: DataFrame) -> DataFrame:
+        """Of each node, how many shingles it has, how many of them another of these nodes has too, and these by PARTS ranges of hashes."""
+        mine = sets.join(some, "node", "left_semi")
+        once = mine.mapInArrow(spread_sets, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+        alone = once.groupBy("node").agg(F.collect_list("shingle").alias("alone"))
+        return mine.join(alone, "node", "left").select("node", "set", "alone").mapInArrow(measure, "node long, size long, common long, parts array<int>")
+
     def checked(pairs: DataFrame) -> DataFrame:
         one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         two = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
@@ -186,22 +210,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = components(links.select("a", "b"))
     lowest, step = 2, ROUND
     left = members.where("n > 2").select("key", "node")
+    cols = ["key", "node", "place", "size", "common", "parts", "bands"]
     while True:
         now = left.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         several = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-        place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        ranked = now.join(several, "key").withColumn("place", place) if lowest == 2 else now.join(several, "key")
-        ranked = materialize(ranked.select("key", "node", "comp", "place"), "near-left")
-        a = ranked.where(F.col("place").between(lowest, lowest + step - 1)).select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("place").alias("pa"))
-        b = ranked.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("place").alias("pb"))
-        pairs = a.join(b, "key").where("pb > pa and ca <> cb").select("a", "b").distinct()
+        ranked = now.join(several, "key")
+        if lowest == 2:
+            place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+            ranked = materialize(ranked.select("key", "node", "comp", place.alias("place")), "near-left")
+            ranked = ranked.join(bounds(ranked.select("node").distinct()), "node").join(nodes.select("node", "bands"), "node")
+        ranked = materialize(ranked.select(*cols, "comp"), "near-left")
+        a = ranked.where(F.col("place").between(lowest, lowest + step - 1))
+        a, b = (x.select("key", *[F.col(c).alias(f"{c}_{side}") for c in [*cols[1:], "comp"]]) for x, side in ((a, "a"), (ranked, "b")))
+        enough = lambda most: most >= similar * (F.col("size_a") + F.col("size_b") - most) - 1e-9
+        shared = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+        first = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == F.col("key")  # a pair is made in one bucket
+        pairs = a.join(b, "key").where((F.col("place_b") > F.col("place_a")) & (F.col("comp_a") != F.col("comp_b")) & enough(F.least("common_a", "common_b")) & enough(shared) & first)
+        pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
         new = checked(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
         if not new.where("link").isEmpty():
             links = links.unionByName(new.where("link"))
             comps = components(links.select("a", "b"))
         done = done.unionByName(new)
         lowest, step = lowest + step, 4 * step
-        left = ranked.select("key", "node", "place")
+        left = ranked.select(*cols)
         if ranked.where(F.col("place") > lowest).isEmpty():
             break
     each = signed.groupBy("doc_id", "node").agg(F.count("*").alias("times"))
