@@ -55,7 +55,7 @@ def read_texts(column: pa.Array | pa.ChunkedArray) -> Texts:
     place = np.minimum(np.searchsorted(_STOP_HASHES, hashes), len(_STOP_HASHES) - 1)
     hit = np.flatnonzero(_STOP_HASHES[place] == hashes)
     text = np.searchsorted(at, hit, side="right") - 1
-    votes = np.bincount(text * len(LANGUAGES) + _STOP_LANG[place[hit]], minlength=n * len(LANGUAGES)).reshape(n, -1)
+    votes = np.bincount(text * len(LANGUAGES) + _STOP_LANG[place[hit]], minlength=n * len(LANGUAGES)).reshape(n, len(LANGUAGES))
     lang = np.where(votes.max(1, initial=0) > 0, votes.argmax(1) if n else 0, len(LANGUAGES))
     return Texts((hashes % np.uint64(WORD_ROWS)).astype(np.int32), (heads % np.uint64(HEAD_ROWS)).astype(np.int32), at, lang)
 
