@@ -20,7 +20,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Probability that a candidate merge is skipped, the seed, and the number of segmentations that a word can have.
 DROPOUT, SEED, VARIANTS = 0.1, 20, 8
 #: Segmentations that a worker remembers, words that are segmented at once, and bytes of texts that are encoded at once.
-REMEMBERED, MANY, TEXTS = 1_000_000, 50_000, 4 << 20
+REMEMBERED, MANY, TEXTS = 1_000_000, 20_000, 2 << 20
+#: Ids that are decoded at once.
+IDS = 1 << 20
 #: Longer words have an agenda of their own.
 LONG = 64
 _NEVER = np.int32(2**31 - 1)
@@ -332,18 +334,16 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces.value, dropout, seed)
         for b in batches:
-            keys, ids, ends, at = b.column(k).to_numpy(), [], [np.zeros(1, np.int64)], 0
+            keys, at = b.column(k).to_numpy(), 0
             sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(i)), 0).to_numpy())
             while at < b.num_rows:
                 before = sizes[at - 1] if at else 0
                 end = max(at + 1, int(np.searchsorted(sizes, before + TEXTS, side="right")))
-                flat, offsets = encoder.encode_column(b.column(i).slice(at, end - at), keys[at:end])
-                ids.append(flat)
-                ends.append(offsets[1:] + ends[-1][-1])
+                part = b.slice(at, end - at)
+                flat, offsets = encoder.encode_column(part.column(i), keys[at:end])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:k], lists], names=[*b.schema.names[:k], out])
                 at = end
-            whole = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), whole)
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], lists], names=[*b.schema.names[:k], out])
 
     return keyed.mapInArrow(each, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
@@ -356,9 +356,13 @@ def decode_documents(encoded: DataFrame, ids_col: str = "ids", model: str = MODE
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces.value, 0)
         for b in batches:
-            column = pc.fill_null(b.column(i), pa.scalar([], b.column(i).type))
-            flat, at = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy())])
-            texts = encoder.decode_column(flat, at)
-            yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, out])
+            lens, at = np.cumsum(pc.fill_null(pc.list_value_length(b.column(i)), 0).to_numpy()), 0
+            while at < b.num_rows:
+                before = lens[at - 1] if at else 0
+                end = max(at + 1, int(np.searchsorted(lens, before + IDS, side="right")))
+                part = b.slice(at, end - at)
+                texts = encoder.decode_column(part.column(i).flatten().to_numpy(), np.concatenate([[before], lens[at:end]]) - before)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*b.schema.names, out])
+                at = end
 
     return encoded.mapInArrow(each, T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())]))
