@@ -13,7 +13,7 @@ from tickweave.llm.common import materialize, release_shuffles, text_of
 from tickweave.llm.textnum import mix, word_hashes
 
 #: Bytes of text counted together, and the most ranges of n-gram hashes that owners hold.
-BLOCK_BYTES, MAX_OWNERS = 16 << 20, 1 << 18
+BLOCK_BYTES, MAX_OWNERS = 6 << 20, 1 << 18
 #: The token that ends each text; also the context of its first token.
 END = np.uint64(0x5851F42D4C957F2D)
 _LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
