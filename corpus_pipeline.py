@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tickweave.llm.common import materialize
 from tickweave.llm.exact_dedup import drop_exact_duplicates
 from tickweave.llm.minhash import drop_near_duplicates
 from tickweave.llm.mixing import sample_mixture
 from tickweave.llm.queries import digest_of_encoding
-from tickweave.llm.spencode import encode_documents
 from tickweave.llm.toxicity import drop_toxic, fit_toxicity
 
 
@@ -36,7 +34,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, and digests of its text and of the text decoded from them."""
-    return digest_of_encoding(encode_documents(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
+    return digest_of_encoding(docs)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("sentencepiece", sentencepiece)]

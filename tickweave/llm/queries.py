@@ -15,7 +15,7 @@ from tickweave.llm.minhash import near_duplicates
 from tickweave.llm.mixing import mix_documents
 from tickweave.llm.quotes import link_quotes
 from tickweave.llm.sharding import shard_documents
-from tickweave.llm.spencode import decode_documents, encode_documents
+from tickweave.llm.spencode import encode_documents
 from tickweave.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -31,15 +31,14 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_neighbours(_read(spark, sf_dir, "documents"))
 
 
-def digest_of_encoding(encoded: DataFrame) -> DataFrame:
-    """Ids of a text, decoded again: both texts' digests are equal if nothing is lost."""
-    decoded = decode_documents(encoded)
-    return decoded.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("ids").alias("n_tokens"), "ids", F.sha2("text", 256).alias("text_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digest_of_encoding(docs: DataFrame) -> DataFrame:
+    """Ids of a text, decoded again: both texts' digests are equal if nothing is lost. A null text counts as empty."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return encode_documents(docs, decoded="decoded").select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("ids").alias("n_tokens"), "ids", F.sha2("text", 256).alias("text_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return digest_of_encoding(encode_documents(docs))
+    return digest_of_encoding(_read(spark, sf_dir, "documents"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

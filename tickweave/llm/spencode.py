@@ -321,12 +321,15 @@ class Encoder:
         return pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[keep])])
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, out: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each whole text in a column ``out``.
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the ids of each whole text in a column ``out``, and, if ``decoded`` is named, the text that these ids stand for.
 
     The hash that picks a word's segmentation is keyed by the row's id (null: 0), so a row's ids depend on its id, its
-    text and ``seed`` alone. Null and empty texts have no ids. Other columns stay as they are.
+    text and ``seed`` alone. Null and empty texts have no ids, and an empty decoded text. Other columns stay as they are;
+    a column that has the name of a new one is replaced. Decoding in the same pass saves each task a second Python worker.
     """
+    new = [T.StructField(out, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    docs = docs.drop("_tw_key", *[f.name for f in new])
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
     keyed = docs.withColumn("_tw_key", F.coalesce(F.xxhash64(F.when(F.col(id_col).isNotNull(), F.col(id_col).cast("string"))), F.lit(0)))
     i, k = docs.columns.index(text_col), len(docs.columns)
@@ -342,14 +345,16 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 part = b.slice(at, end - at)
                 flat, offsets = encoder.encode_column(part.column(i), keys[at:end])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:k], lists], names=[*b.schema.names[:k], out])
+                made = [lists, encoder.decode_column(flat, offsets)] if decoded else [lists]
+                yield pa.RecordBatch.from_arrays([*part.columns[:k], *made], names=[*b.schema.names[:k], *[f.name for f in new]])
                 at = end
 
-    return keyed.mapInArrow(each, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    return keyed.mapInArrow(each, T.StructType([*docs.schema.fields, *new]))
 
 
 def decode_documents(encoded: DataFrame, ids_col: str = "ids", model: str = MODEL, out: str = "decoded") -> DataFrame:
-    """``encoded`` with the text that its ids stand for; null ids give an empty text."""
+    """``encoded`` with the text that its ids stand for; null ids give an empty text. A column named ``out`` is replaced."""
+    encoded = encoded.drop(out)
     pieces = encoded.sparkSession.sparkContext.broadcast(load_pieces(model))
     i = encoded.columns.index(ids_col)
 
