@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import math
 import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,15 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def return_memory() -> None:
+    """Give the operating system back what this process has freed: Arrow and the C library keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU's C library only
+    if trim is not None:
+        trim(0)
+
+
 def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

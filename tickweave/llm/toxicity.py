@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import text_of
+from tickweave.llm.common import return_memory, text_of
 from tickweave.llm.stopwords import LANGUAGES, STOP_WORDS
 from tickweave.llm.textnum import word_hashes
 
@@ -265,7 +265,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None,
     """Fit on labelled rows whose id's crc32 as text isn't 0 modulo 5, or for which ``use`` (on ``labels``) holds."""
     use = F.crc32(F.col(names.get("id_col", "doc_id")).cast("string")) % 5 != 0 if use is None else use
     texts, label = training_rows(docs, labels, use, **names)
-    return fit(read_texts(texts), label)
+    words = read_texts(texts)
+    del texts
+    model = fit(words, label)
+    del words
+    return_memory()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text", out: str = "score") -> DataFrame:
