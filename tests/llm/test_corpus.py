@@ -253,6 +253,17 @@ def test_near_duplicates(spark, docs, texts):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Repeated rows, an id with several texts, null ids and texts, a clashing column: one row of each class stays."""
+    one, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, one, "x"), (1, one, "x"), (1, other, "y"), (0, other, "z"), (2, one + " end", "w"), (3, None, "n"), (3, None, "n"), (None, "alone", "q"), (None, "alone", "q"), (4, "five words only in here", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    out = sorted(map(tuple, minhash.drop_near_duplicates(docs).collect()), key=str)
+    assert out == sorted([(1, one, "x"), (0, other, "z"), (3, None, "n"), (None, "alone", "q"), (4, "five words only in here", "k")], key=str)
+    assert sorted(map(tuple, minhash.drop_near_duplicates(docs.where("doc_id in (0, 2, 4)")).collect()))[0] == (0, other, "z")
+    assert minhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     a = np.arange(1, 301, dtype=np.uint64) * np.uint64(7919)
     b = np.concatenate([a[60:], np.arange(9000, 9060, dtype=np.uint64)])

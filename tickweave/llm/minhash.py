@@ -143,7 +143,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies of each other. A text with fewer than ``width`` words has one shingle. Of repeated rows one is
     kept; an id that repeats with several texts of one class is kept with each. An empty table gives no rows. Other columns are ignored.
 
-    Returns doc_id, class_id (the least id of the class), copy_id (the least id with the same words), class_size, kept.
+    Returns doc_id, class_id (the least id of the class), copy_id (the least id with the same words), class_size, kept,
+    content_key (a hash of the words in order).
     """
     base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
@@ -243,10 +244,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = whole.join(sizes, "comp")
     out = out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time"))
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("time") == 1)
-    return out.select("doc_id", "class_id", "copy_id", "class_size", kept.alias("kept"))
+    return out.select("doc_id", "class_id", "copy_id", "class_size", kept.alias("kept"), F.col("node").alias("content_key"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class of near duplicates, the one with the least id; columns stay as they are."""
-    lost = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("_tw_id")).distinct()
-    return docs.join(lost, F.col(id_col).eqNullSafe(F.col("_tw_id")), "left_anti")
+    """``docs`` with one row of each class of near duplicates, the one with the least id; columns stay as they are.
+
+    Rows whose id occurs once go by their id alone. Rows of an id that repeats go by id and words, and of equal ones
+    any one stays, so repeating a row never loses its class.
+    """
+    found = materialize(near_duplicates(docs, id_col, text_col, **options).select(F.col("doc_id").alias("_tw_id"), F.col("content_key").alias("_tw_key"), "kept"), "near-found")
+    same_id = F.col(id_col).eqNullSafe(F.col("_tw_id"))
+    lost = found.where("not kept").select("_tw_id").distinct()
+    often = found.groupBy("_tw_id").agg(F.count("*").alias("n")).where("n > 1").select("_tw_id")
+    if often.isEmpty():
+        return docs.join(lost, same_id, "left_anti")
+    often = materialize(often, "near-often")
+    i = docs.columns.index(text_col)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(content_key(*word_hashes(b.column(i))))], names=[*b.schema.names, "_tw_own"])
+
+    again = docs.join(often, same_id, "left_semi")
+    again = again.mapInArrow(keyed, again.withColumn("_tw_own", F.lit(0).cast("long")).schema)
+    stay = found.where("kept").select("_tw_id", "_tw_key").distinct()
+    again = again.join(stay, same_id & (F.col("_tw_own") == F.col("_tw_key")), "left_semi").dropDuplicates([id_col, "_tw_own"]).drop("_tw_own")
+    return docs.join(often, same_id, "left_anti").join(lost, same_id, "left_anti").unionByName(again)
