@@ -19,8 +19,8 @@ WORD_ROWS, HEAD_ROWS, HEAD, SIZE, WIDTHS, FILTERS = 1 << 17, 1 << 14, 4, 16, (1,
 #: Labelled rows to fit on, at most: with label 1 and with label 0, the first by a hash of their id.
 MAX_TOXIC, MAX_CLEAN = 3000, 5000
 EPOCHS, BATCH, RATE, CALIBRATE = 6, 32, 0.05, 4
-#: Words looked at in one go.
-CHUNK = 1 << 17
+#: Words looked at in one go, and training texts hashed in one go.
+CHUNK, LOT = 1 << 17, 256
 _PAD = max(WIDTHS) - 1
 
 
@@ -60,6 +60,13 @@ def read_texts(column: pa.Array | pa.ChunkedArray) -> Texts:
     return Texts((hashes % np.uint64(WORD_ROWS)).astype(np.int32), (heads % np.uint64(HEAD_ROWS)).astype(np.int32), at, lang)
 
 
+def read_in_lots(column: pa.ChunkedArray, lot: int = LOT) -> Texts:
+    """As ``read_texts``, with hashes of only ``lot`` texts at a time in memory."""
+    parts = [read_texts(column.slice(i, lot)) for i in range(0, max(1, len(column)), lot)]
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.at) for p in parts]))])
+    return Texts(np.concatenate([p.words for p in parts]), np.concatenate([p.heads for p in parts]), at, np.concatenate([p.lang for p in parts]))
+
+
 @dataclass
 class ToxicModel:
     """words, heads: embedding rows, a last row of zeros for padding. filters: for each width, (width * SIZE, FILTERS). shift: by language."""
@@ -130,8 +137,13 @@ class ToxicModel:
 
 def _standing(ids: np.ndarray, at: np.ndarray, label: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
     """For each embedding row, how far the label's share among texts with it is from the usual, in standard deviations."""
-    text = np.repeat(np.arange(len(label)), np.diff(at))
-    pairs = np.unique(text.astype(np.int64) * rows + ids)
+    key = np.repeat(np.arange(len(label), dtype=np.int64) * rows, np.diff(at))
+    key += ids
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    pairs = key[new]
+    del key, new
     texts, row = pairs // rows, pairs % rows
     share = float(np.average(label, weights=weight))
     n, k = np.bincount(row, weight[texts], rows), np.bincount(row, (weight * label)[texts], rows)
@@ -163,9 +175,10 @@ def fit(texts: Texts, label: np.ndarray, seed: int = 11, epochs: int = EPOCHS) -
     left_out, used = order[::CALIBRATE], np.setdiff1d(order, order[::CALIBRATE])
     if len(left_out) < 40 or label[left_out].sum() < 5:
         left_out = used = np.sort(order)
-    spans = [np.arange(texts.at[i], texts.at[i + 1]) for i in used]
-    at = np.concatenate([[0], np.cumsum([len(s) for s in spans])])
-    flat = np.concatenate(spans) if spans else np.zeros(0, int)
+    is_used = np.zeros(n, bool)
+    is_used[used] = True  # in ascending order
+    at = np.concatenate([[0], np.cumsum(np.diff(texts.at)[used])])
+    flat = np.repeat(is_used, np.diff(texts.at))
     weight = np.where(label == 1, 0.5 / label[used].mean(), 0.5 / (1 - label[used].mean())) if 0 < label[used].mean() < 1 else np.ones(n)
     model.words[:-1, 0] = _standing(texts.words[flat], at, label[used], np.ones(len(used)), WORD_ROWS)
     model.heads[:-1, 0] = 0
@@ -265,8 +278,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None,
     """Fit on labelled rows whose id's crc32 as text isn't 0 modulo 5, or for which ``use`` (on ``labels``) holds."""
     use = F.crc32(F.col(names.get("id_col", "doc_id")).cast("string")) % 5 != 0 if use is None else use
     texts, label = training_rows(docs, labels, use, **names)
-    words = read_texts(texts)
+    words = read_in_lots(texts)
     del texts
+    return_memory()
     model = fit(words, label)
     del words
     return_memory()
