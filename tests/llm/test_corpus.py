@@ -264,6 +264,23 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert minhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_repeated_blocks(spark):
+    """Texts that differ in how often a passage recurs: the sets are alike, so each group is one class."""
+    rng = random.Random(5)
+    rows, at = [], 0
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for times in (1, 2, 4, 16):
+            rows.append((at, " ".join(words * times)))
+            at += 1
+        rows.append((at, " ".join(words[:150] + words[100:150] * 8 + words[150:])))
+        at += 1
+    sets = [shingles(t) for _, t in rows]
+    assert all((len(x & y) / len(x | y) >= 0.8) == (a // 5 == b // 5) for a, x in enumerate(sets) for b, y in enumerate(sets))
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in out} == {i: (i // 5 * 5, 5) for i, _ in rows}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     a = np.arange(1, 301, dtype=np.uint64) * np.uint64(7919)
     b = np.concatenate([a[60:], np.arange(9000, 9060, dtype=np.uint64)])

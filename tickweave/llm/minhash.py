@@ -36,15 +36,15 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def weigh(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's different shingles as unit regions: one, and one more for each doubling of the shingle's count."""
+def weigh(shingles: np.ndarray, at: np.ndarray, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's different shingles as unit regions: one, and, if ``counted``, one more for each doubling of the shingle's count."""
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     order = np.lexsort((shingles, text))
     s, t = shingles[order], text[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
     first = np.flatnonzero(new)
-    weight = np.frexp(np.diff(np.append(first, len(s))).astype(float))[1]
+    weight = np.frexp(np.diff(np.append(first, len(s))).astype(float))[1] if counted else np.ones(len(first), np.int64)
     layer = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
     return mix(np.repeat(s[first], weight) + layer.astype(np.uint64) * _A), np.repeat(t[first], weight)
 
@@ -109,7 +109,7 @@ def _sign(column: pa.Array, width: int, bands: int, rows: int) -> tuple[np.ndarr
             j += 1
         some = np.flatnonzero(np.diff(sat[i : j + 1]) > 0)
         if len(some):
-            regions, text = weigh(shingles[sat[i] : sat[j]], sat[i : j + 1] - sat[i])
+            regions, text = weigh(shingles[sat[i] : sat[j]], sat[i : j + 1] - sat[i], counted=False)
             keys = band_keys(signatures(regions, text, j - i, bands * rows), rows)
             for m in some:
                 found[i + m] = keys[m]
@@ -131,8 +131,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Classes of near-duplicate texts: connected components of links between texts of Jaccard similarity ``similar`` or more over ``width``-word shingles.
 
     1. Texts with the same words are one node, however many copies there are.
-    2. Each node's DartMinHash signature (weights: one, and one more for each doubling of a shingle's count) gives
-       ``bands`` keys; a pair at 0.8 shares a key with probability 1 - (1 - 0.8**rows)**bands, over 0.9999.
+    2. Each node's DartMinHash signature of its shingle set (each different shingle weighs one, however often it occurs, as in
+       the similarity of links) gives ``bands`` keys; a pair at 0.8 shares a key with probability 1 - (1 - 0.8**rows)**bands, over 0.9999.
     3. In each bucket every member is compared with the least one by the exact similarity of their shingle sets, and
        links join nodes to components. Then, in buckets that still hold several components, further members are
        compared with all members after them that are in other components, until no such pair is left. Shingles that no other
