@@ -179,6 +179,22 @@ def test_quotes(spark):
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_quotes_of_passages(spark):
+    """Quotes that are wrapped anew, joined, cut out of a line, or stand in a conversation of a higher id; answers in a circle."""
+    long = "The first part of this message is a long line that mail programs wrap at some place. It also has a second sentence in it. Yes."
+    rows = [
+        (1, 0, long), (1, 1, "> The first part of this message is a long\n> line that mail programs wrap at\n> some place. It also has\nI see"), (1, 2, "> it also has a second sentence in it.\nTrue"), (1, 3, "> Yes.\nNo"),
+        (2, 0, "one short line\nand then another one"), (2, 1, "> one short line and then another one\nok"), (2, 2, "> one short line\n> of something else that nobody says\nhm"), (2, 3, "> part of this message is not a long line\nwhat"),
+        (3, 0, "> words that only a later conversation has\nmine"), (9, 0, "Here are words that only a later conversation has"),
+        (5, 0, "> six says these four words\nfive says these four words"), (6, 0, "> five says these four words\nsix says these four words"),
+    ]
+    out = quotes.link_quotes(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()
+    at = {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"], r["n_quoted"], r["n_linked"], r["depth"]) for r in out}
+    assert at[1, 1] == (1, 0, 3, 3, 1) and at[1, 2] == (1, 0, 1, 1, 1) and at[1, 3] == (1, 0, 1, 1, 1)
+    assert at[2, 1] == (2, 0, 1, 1, 1) and at[2, 2] == (2, 0, 2, 1, 1) and at[2, 3] == (None, None, 1, 0, 0)
+    assert at[3, 0] == (9, 0, 1, 1, 1) and at[5, 0] == (None, None, 1, 1, 0) and at[6, 0] == (5, 0, 1, 1, 1)
+
+
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav>
     <div class="cookie-notice"><p>We use cookies on this site, and it is what you have to know of it.</p></div><div class="ad">Buy it.</div>
