@@ -143,6 +143,24 @@ def test_sentencepiece(docs, texts):
     assert spencode.encode_documents(docs.limit(0)).count() == 0
 
 
+def test_sentencepiece_skips_by_occurrence():
+    """Each occurrence of a word skips a merge with the stated probability, whether the word is met often or in one text."""
+    pieces = spencode.load_pieces()
+    varied = spencode.Encoder(pieces, 0.1, seed=1)
+    words = [" of", " xa", " le", " information", " international"]
+    for w in (" " + p[1:] for p in pieces.ids if len(p) == 2 and p[0] == spencode.SPACE and p[1].isalpha() and p[1].isascii()):
+        flat = varied.encode(" ".join([w[1:]] * 4000), 3)
+        assert abs((len(flat) - 4000) / 4000 - 0.1) < 0.025, w
+    texts = [" ".join(random.Random(k).choices([w[1:] for w in words] + ["é🎉", "x" * 200], k=50)) for k in range(20)]
+    keys = np.arange(20) * 7919
+    flat, at = varied.encode_column(pa.array(texts), keys)
+    again = [spencode.Encoder(pieces, 0.1, seed=1).encode(t, k) for t, k in zip(texts, keys, strict=True)]
+    assert all(flat[at[k] : at[k + 1]].tolist() == x.tolist() for k, x in enumerate(again))
+    own = textnum.mix(keys[:1].view(np.uint64) ^ np.uint64((1 * 0xC2B2AE3D27D4EB4F) & (2**64 - 1)))
+    occurrences = textnum.mix(np.repeat(own, 50) + np.arange(50, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    assert flat[: at[1]].tolist() == [x for w, o in zip(texts[0].split(" "), occurrences, strict=True) for x in varied.word(" " + w, int(o)).tolist()]
+
+
 def test_mixing(docs, spark):
     assert mixing.mix_documents(docs).count() == docs.count()
     # "(none)" is one cell of source and language, whose two targets can't both be met: it is left out here

@@ -17,13 +17,13 @@ from tickweave.llm.textnum import WINDOW, buffers, mix, span_hashes
 
 #: Where the tokenizer file is, in the driver's file system; executors get its pieces by broadcast.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Probability that a candidate merge is skipped, the seed, and the number of segmentations that a word can have.
-DROPOUT, SEED, VARIANTS = 0.1, 20, 8
-#: Segmentations that a worker remembers, words that are segmented at once, and bytes of texts that are encoded at once.
+#: Probability that a candidate merge is skipped, and the seed.
+DROPOUT, SEED = 0.1, 20
+#: Segmentations without skips that a worker remembers, words that are segmented at once, and bytes of texts that are encoded at once.
 REMEMBERED, MANY, TEXTS = 1_000_000, 20_000, 2 << 20
 #: Ids that are decoded at once.
 IDS = 1 << 20
-#: Longer words have an agenda of their own.
+#: Longer words have an agenda of their own, and aren't remembered.
 LONG = 64
 _NEVER = np.int32(2**31 - 1)
 SPACE = "▁"
@@ -127,26 +127,32 @@ class Encoder:
     the text is cut before each run of spaces, and each part is segmented alone. A U+2581 of the text itself goes as bytes,
     as does any character without a piece, so that decoding gives back every text.
 
-    The segmentation of the word at place i of a text with key k is one of ``variants``, chosen by a hash of
-    (seed, k, i); the merges that it skips are chosen by a hash of (seed, variant, word, place, merge). So a word
-    that recurs varies, while each word and variant is segmented once for many texts. Those of the last lot of texts
-    are remembered for the next one.
+    The word at place i of a text with key k skips merges by a hash of (seed, k, i, word, place, merge), so each occurrence
+    of a word has skips of its own. A word's segmentation without skips is remembered with its merges, those of the last lot of texts
+    for the next one; an occurrence that skips none of these merges has it, and each other one is segmented anew.
     """
 
-    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, pieces: Pieces, dropout: float = DROPOUT, seed: int = SEED):
         self.pieces, self.seed = pieces, seed
         self.skip_below = int(dropout * 2**32)
-        self.variants = variants if self.skip_below else 1
-        self.known = (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, "<i4"))
+        self._forget()
         self.sizes = np.zeros(0, np.int64)
 
-    def _salts(self, hashes: np.ndarray, variants: np.ndarray) -> np.ndarray:
-        return mix(hashes ^ np.uint64((self.seed << 40) & _MASK) ^ (variants.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    def _forget(self) -> None:
+        """Remembered words' hashes, and where their ids and merges begin, with these."""
+        self.known = (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, "<i4"), np.zeros(1, np.int64), np.zeros(0, np.uint64))
 
-    def word(self, word: str, variant: int = 0) -> np.ndarray:
+    def _salts(self, hashes: np.ndarray, occurrences: np.ndarray) -> np.ndarray:
+        return mix(hashes ^ np.uint64((self.seed << 40) & _MASK) ^ (occurrences.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+    def _skips(self, salt: np.ndarray, merges: np.ndarray) -> np.ndarray:
+        h = (salt ^ merges) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(32) < np.uint64(self.skip_below)
+
+    def word(self, word: str, occurrence: int = 0) -> np.ndarray:
         """Ids of one word, by an agenda of its own."""
         p, data = self.pieces, np.frombuffer(word.encode(), np.uint8)
-        salt = int(self._salts(span_hashes(data, np.array([0]), np.array([len(data)]), lower=False), np.array([variant]))[0])
+        salt = int(self._salts(span_hashes(data, np.array([0]), np.array([len(data)]), lower=False), np.array([occurrence]))[0])
         symbols = [SPACE if c == " " else "\0" + SPACE if c == SPACE else c for c in word]
         out: list[int] = []
         for s in merge_symbols(symbols, p.rank, salt, self.skip_below):
@@ -163,8 +169,11 @@ class Encoder:
         hit = self.pieces.pairs[at] == key
         return np.where(hit, self.pieces.pair_rank[at], _NEVER), self.pieces.pair_id[at]
 
-    def _merge_rows(self, sym: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        """As ``merge_symbols`` for each row of ids; a row ends with -1s. Merged-away places become -1."""
+    def _merge_rows(self, sym: np.ndarray, salt: np.ndarray, trace: list | None = None) -> np.ndarray:
+        """As ``merge_symbols`` for each row of ids; a row ends with -1s. Merged-away places become -1.
+
+        With a ``trace`` nothing is skipped, and it gets the rows and their merges.
+        """
         n, width = sym.shape
         ranks = np.full((n, width), _NEVER, np.int32)
         made = np.zeros((n, width), np.int32)
@@ -178,14 +187,16 @@ class Encoder:
             r = ranks[rows, i]
             live = r < _NEVER
             rows, i, r = rows[live], i[live], r[live]
+            go = rows
             if self.skip_below and len(rows):
                 j = after[rows, i]
-                h = (salt[rows] ^ (r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + i.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + j.astype(np.uint64) * np.uint64(0x165667B19E3779F9))) * np.uint64(0xBF58476D1CE4E5B9)
-                skip = ((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(32) < np.uint64(self.skip_below)
-                ranks[rows[skip], i[skip]] = _NEVER
-                go, i = rows[~skip], i[~skip]
-            else:
-                go = rows
+                merges = r.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + i.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + j.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+                if trace is not None:
+                    trace.append((rows, merges))
+                else:
+                    skip = self._skips(salt[rows], merges)
+                    ranks[rows[skip], i[skip]] = _NEVER
+                    go, i = rows[~skip], i[~skip]
             j = after[go, i]
             sym[go, i] = made[go, i]
             sym[go, j] = -1
@@ -204,8 +215,11 @@ class Encoder:
             ranks[g, k], made[g, k] = found, piece
         return sym
 
-    def words(self, data: bytes, sizes: np.ndarray, salt: np.ndarray, variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of many words, given as UTF-8 bytes one after another, and how many each has."""
+    def words(self, data: bytes, sizes: np.ndarray, salt: np.ndarray, occurrences: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words, given as UTF-8 bytes one after another, and how many each has.
+
+        With a ``trace`` nothing is skipped, and it gets words' numbers and merges; no word is over LONG then.
+        """
         text = data.decode()
         ids = self.pieces.chars[np.frombuffer(text.encode("utf-32-le"), "<u4")]
         heads = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
@@ -221,7 +235,10 @@ class Encoder:
             sym = np.full((len(mine), width), -1, np.int32)
             inside = np.arange(width) < lens[mine, None]
             sym[inside] = ids[(first[mine, None] + np.arange(width))[inside]]
-            sym = self._merge_rows(sym, salt[mine])
+            steps: list | None = None if trace is None else []
+            sym = self._merge_rows(sym, salt[mine], steps)
+            if steps:
+                trace += [(mine[rows], merges) for rows, merges in steps]
             alive = sym >= 0
             flat, who = sym[alive], np.repeat(mine, alive.sum(1))
             odd = np.flatnonzero(flat >= raw)
@@ -238,7 +255,7 @@ class Encoder:
             parts.append(flat)
             owners.append(who)
         for m in np.flatnonzero(lens > LONG):
-            found = self.word(text[first[m] : first[m] + lens[m]], int(variants[m]))
+            found = self.word(text[first[m] : first[m] + lens[m]], int(occurrences[m]))
             counts[m] = len(found)
             parts.append(found)
             owners.append(np.full(len(found), m))
@@ -268,28 +285,54 @@ class Encoder:
         per = np.diff(word_at)
         place = np.arange(len(starts)) - np.repeat(word_at[:-1], per)
         own = mix(keys.astype(np.int64).view(np.uint64) ^ np.uint64((self.seed * 0xC2B2AE3D27D4EB4F) & _MASK))
-        variant = (mix(np.repeat(own, per) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.variants)).astype(np.int64)
-        salts = self._salts(hashes, variant)
-        unique, where, inverse = np.unique(salts, return_index=True, return_inverse=True)
-        known, known_at, known_ids = self.known
+        occurrence = mix(np.repeat(own, per) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        salts = self._salts(hashes, occurrence)
+        short = np.flatnonzero(lens <= LONG)
+        unique, where, inverse = np.unique(hashes[short], return_index=True, return_inverse=True)
+        where = short[where]
+        known, known_at, known_ids, steps_at, known_steps = self.known
         near = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
         old = known[near] == unique if len(known) else np.zeros(len(unique), bool)
-        counts = np.zeros(len(unique), np.int64)
-        counts[old] = known_at[near[old] + 1] - known_at[near[old]]
-        found = [(np.flatnonzero(old), spread(known_ids, known_at[near[old]], counts[old]))]
+        counts, steps = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
+        near = near[old]
+        counts[old], steps[old] = known_at[near + 1] - known_at[near], steps_at[near + 1] - steps_at[near]
+        found = [(np.flatnonzero(old), spread(known_ids, known_at[near], counts[old]), spread(known_steps, steps_at[near], steps[old]))]
         new = np.flatnonzero(~old)
         for k in range(0, len(new), MANY):
             mine = new[k : k + MANY]
             first, size = starts[where[mine]], lens[where[mine]]
-            ids, counts[mine] = self.words(spread(data, first, size).tobytes(), size, unique[mine], variant[where[mine]])
-            found.append((mine, ids))
-        each = np.concatenate([[0], np.cumsum(counts)])
-        table = np.empty(int(each[-1]), "<i4")
-        for mine, ids in found:
+            trace: list = []
+            ids, counts[mine] = self.words(spread(data, first, size).tobytes(), size, salts[where[mine]], occurrence[where[mine]], trace)
+            who, merges = (np.concatenate(x) for x in zip(*trace, strict=True)) if trace else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            steps[mine] = np.bincount(who, minlength=len(mine))
+            found.append((mine, ids, merges[np.argsort(who, kind="stable")]))
+        each, step = (np.concatenate([[0], np.cumsum(x)]) for x in (counts, steps))
+        table, merges = np.empty(int(each[-1]), "<i4"), np.empty(int(step[-1]), np.uint64)
+        for mine, ids, made in found:
             table[run(each[mine], counts[mine])] = ids
-        self.known = (unique, each, table) if len(unique) <= REMEMBERED else (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, "<i4"))
-        flat = spread(table, each[inverse], counts[inverse])
-        ends = np.concatenate([[0], np.cumsum(counts[inverse])])
+            merges[run(step[mine], steps[mine])] = made
+        self.known = (unique, each, table, step, merges)
+        if len(unique) > REMEMBERED:
+            self._forget()
+        anew = lens > LONG
+        if self.skip_below:
+            times = steps[inverse]
+            skips = self._skips(np.repeat(salts[short], times), spread(merges, step[inverse], times))
+            anew[np.repeat(short, times)[skips]] = True
+        size = np.zeros(len(starts), np.int64)
+        size[short] = counts[inverse]
+        fresh, parts = np.flatnonzero(anew), []
+        for k in range(0, len(fresh), MANY):
+            mine = fresh[k : k + MANY]
+            ids, size[mine] = self.words(spread(data, starts[mine], lens[mine]).tobytes(), lens[mine], salts[mine], occurrence[mine])
+            parts.append((mine, ids))
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = np.empty(int(ends[-1]), "<i4")
+        same = ~anew[short]
+        stay, source = short[same], inverse[same]
+        flat[run(ends[stay], size[stay])] = spread(table, each[source], size[stay])
+        for mine, ids in parts:
+            flat[run(ends[mine], size[mine])] = ids
         return flat, ends[word_at]
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
@@ -324,7 +367,7 @@ class Encoder:
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, out: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the ids of each whole text in a column ``out``, and, if ``decoded`` is named, the text that these ids stand for.
 
-    The hash that picks a word's segmentation is keyed by the row's id (null: 0), so a row's ids depend on its id, its
+    The hash that picks what a word skips is keyed by the row's id (null: 0), so a row's ids depend on its id, its
     text and ``seed`` alone. Null and empty texts have no ids, and an empty decoded text. Other columns stay as they are;
     a column that has the name of a new one is replaced. Decoding in the same pass saves each task a second Python worker.
     """
