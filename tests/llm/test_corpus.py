@@ -227,6 +227,21 @@ def test_html(spark):
     assert html.unescape("&eacute;") in out[1]["text"] and html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_prose_overrules_names():
+    """Articles in wrappers with boilerplate names or forms, and bodies beside a good name, aren't lost; comments still are."""
+    said = "It was the best of times and it was the worst of times, and this is what we have to say of it. "
+    body, nav = f"<p>{said * 4}</p><p>{said * 3}</p>", "<nav><a href=/>Home</a></nav>"
+    want = "\n".join([(said * 4).strip(), (said * 3).strip()])
+    wraps = ["<form id=aspnetForm>%s</form>", "<div class='layout has-sidebar'>%s</div>", "<div class=content-with-ads>%s</div>", "<div id=search-results>%s</div>"]
+    for w in wraps:
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"):
+            assert html_extract.main_text(nav + w % inner) == want, (w, inner)
+    assert html_extract.main_text(f"{nav}<h1 class='post-title'>T</h1><div class='text'>{body}</div>") == "T\n" + want
+    comments = f"<div id=comments>{body * 5}</div><aside>{body}</aside><div style='display:none'>{body}</div>"
+    assert html_extract.main_text(f"<article>{body}</article>{comments}") == want
+    assert html_extract.main_text(f"<div style='display:none'><article>{body}</article></div>") == ""
+
+
 def test_lm(docs, texts):
     out = lm.score_documents(docs, block_bytes=1 << 14).collect()
     words = [(i, t.encode().lower().split() + [None]) for i, t in texts]

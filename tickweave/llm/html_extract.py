@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split())
 BOILERPLATE = frozenset("nav footer aside form button menu dialog fieldset datalist".split())
 MAIN = frozenset("article main".split())
+#: Boilerplate elements that some sites wrap around whole pages.
+WRAPPERS = frozenset("form fieldset".split())
 #: Words of class, id and role names that mark boilerplate, or the place of the main text.
 BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies copyright disclaimer discussion disqus "
@@ -47,6 +49,7 @@ class Block:
     text: str
     linked: int
     bad: bool
+    hard: bool
     main: bool
     good_name: bool
     heading: bool
@@ -72,7 +75,7 @@ def _names(attributes: str) -> tuple[set[str], bool]:
 def blocks_of(page: str) -> list[Block]:
     """All blocks of text of a page, in order. Unclosed, stray and unknown tags are taken as browsers take them, roughly."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, and whether it is boilerplate, main text, or named as main text
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # element, and whether it is boilerplate, such by its element or hidden, main text, or named as main text
     text: list[str] = []
     linked, in_link, heading = 0, 0, False
 
@@ -81,8 +84,8 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             whole = " ".join("".join(text).split())
             if whole:
-                _, bad, main, good = stack[-1] if stack else ("", False, False, False)
-                blocks.append(Block(whole, linked, bad, main, good, heading))
+                _, bad, hard, main, good = stack[-1] if stack else ("", False, False, False, False)
+                blocks.append(Block(whole, linked, bad, hard, main, good, heading))
             text.clear()
         linked = 0
 
@@ -138,14 +141,15 @@ def blocks_of(page: str) -> list[Block]:
         heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         if stack and (stack[-1][0] == "p" or tag in (_IMPLIED.get(stack[-1][0]) or ())):
             stack.pop()
-        _, bad, main, good = stack[-1] if stack else ("", False, False, False)
+        _, bad, hard, main, good = stack[-1] if stack else ("", False, False, False, False)
         names, hidden = _names(m[3]) if m[3] else (set(), False)
         if tag not in ("html", "body"):
             own = names - {"header", "content"} if tag in MAIN else names
             bad = bad or hidden or tag in BOILERPLATE or bool(own & BAD_NAMES) or (not main and (tag == "header" or bool(names & {"header", "head"})))
+            hard = hard or hidden or tag in BOILERPLATE - WRAPPERS
             main = main or tag in MAIN or "articlebody" in names
             good = good or main or bool(names & GOOD_NAMES) and not bad
-        stack.append((tag, bad, main, good))
+        stack.append((tag, bad, hard, main, good))
     flush()
     return blocks
 
@@ -155,9 +159,45 @@ def _density(text: str) -> float:
     return sum(w in _STOPS for w in words) / len(words)
 
 
+def _prose(b: Block) -> bool:
+    if b.hard or len(b.text) < SHORT or b.linked > LINKS * len(b.text):
+        return False
+    share = _density(b.text)
+    return share >= PROSE or share >= LIKELY and len(b.text) >= LONG
+
+
 def classify(blocks: list[Block]) -> list[bool]:
     """Which blocks are main text.
 
+    Names and marks are evidence that prose can overrule. They hold where the text that they keep has as much prose as the
+    blocks have that no boilerplate name covers, and, if that is less than LONG characters, as those that one covers. Else they are taken back
+    one by one until that is so: first names around an article or main element, then names that mark the main text, then
+    elements that mark it, then names around prose. What hidden or other boilerplate elements than forms hold never comes in.
+    """
+    out = _by_marks(blocks)
+    prose = [len(b.text) if _prose(b) else 0 for b in blocks]
+
+    def holds(out: list[bool]) -> bool:
+        kept = sum(n for n, x in zip(prose, out, strict=True) if x)
+        free, named = (sum(n for n, x, b in zip(prose, out, blocks, strict=True) if not x and b.bad == bad) for bad in (False, True))
+        return kept >= free and (kept >= LONG or kept >= named)
+
+    if holds(out):
+        return out
+    nested = [replace(b, bad=b.hard or b.bad and not b.main) for b in blocks]
+    unnamed = [replace(b, good_name=False) for b in blocks]
+    unmarked = [replace(b, main=False) for b in unnamed]
+    bare = [replace(b, bad=b.hard or b.bad and not n) for b, n in zip(unmarked, prose, strict=True)]
+    for some in (nested, unnamed, unmarked):
+        out = _by_marks(some)
+        if holds(out):
+            return out
+    return _by_marks(bare)
+
+
+def _by_marks(blocks: list[Block]) -> list[bool]:
+    """Which blocks are main text, as names and marks say.
+
     First pass: boilerplate elements and blocks made of links are out; on pages that mark the main text, so are blocks outside of it;
     long blocks are in by their share of stop words, or by standing where the page marks the main text; short blocks stay undecided.
     Second pass: an undecided block takes the label of the nearest decided block; between two different ones as near, that
