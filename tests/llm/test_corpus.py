@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import math
 import random
 import zlib
@@ -330,11 +331,86 @@ def test_near_duplicates_with_repeated_blocks(spark):
     assert {r["doc_id"]: (r["class_id"], r["class_size"]) for r in out} == {i: (i // 5 * 5, 5) for i, _ in rows}
 
 
+def components_of(pairs, n):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    return [find(k) for k in range(n)]
+
+
+def test_near_duplicates_recall(spark):
+    """All links that brute force finds in a table of the test data are found: the classes are the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    sets, holders = [shingles(t) for _, t in rows], {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    common = Counter(p for ks in holders.values() for p in itertools.combinations(ks, 2))
+    links = [(a, b) for (a, b), n in common.items() if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8]
+    assert sum(sets[a] != sets[b] for a, b in links) > 10
+    empty = [k for k, s in enumerate(sets) if not s]
+    comp = components_of(links + [(empty[0], k) for k in empty], len(rows))
+    least = {}
+    for (i, _), c in zip(rows, comp):
+        least[c] = min(least.get(c, i), i)
+    out = {r["doc_id"]: r for r in minhash.near_duplicates(docs).collect()}
+    assert {i: out[i]["class_id"] for i, _ in rows} == {i: least[c] for (i, _), c in zip(rows, comp)}
+    linked = {rows[k][0] for a, b in links for k in (a, b) if sets[a] != sets[b]}
+    assert {i for i, r in out.items() if r["n_links"]} == linked
+
+
+def test_near_duplicates_left_over(spark):
+    """Texts of one bucket that aren't like its least member: chains, groups, and strangers that share most of their shingles."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(100)]
+    texts = []
+    for start in range(0, 60, 3):  # a chain: only near ones are alike
+        texts.append([f"x{k}" if k < start else w for k, w in enumerate(words)])
+    for _ in range(30):  # a passage that all share, and words of their own
+        texts.append(words[:70] + [f"y{rng.randrange(10**6)}" for _ in range(30)])
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = [shingles(t) for _, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    comp = components_of(links, len(rows))
+    least = {c: min(k for k in range(len(rows)) if comp[k] == c) for c in comp}
+    old = minhash.CHUNK
+    for chunk in (4, old):
+        minhash.CHUNK = chunk
+        for bands in (26, 200):  # with many bands all are in common buckets
+            out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), bands=bands, rows=5 if bands == 26 else 2).collect()
+            assert {r["doc_id"]: r["class_id"] for r in out} == {k: least[c] for k, c in enumerate(comp)}
+    minhash.CHUNK = old
+    words = " ".join(words)
+    named = spark.createDataFrame([("b", words), ("a", words + " z"), (None, words), (None, None), ("c", words + (" " + words) * 3)], "doc_id string, text string")
+    assert sorted((r["doc_id"] or "", r["class_id"] or "", r["class_size"], r["kept"]) for r in minhash.near_duplicates(named).collect()) == [("", "", 1, True), ("", "a", 4, False), ("a", "a", 4, True), ("b", "a", 4, False), ("c", "a", 4, False)]
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(named, weight="count").where("doc_id is not null").collect()} == {"a": "a", "b": "a", "c": "c"}
+    null = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", F.lit(words), F.col("id")).alias("text"))
+    out = minhash.near_duplicates(null.unionByName(null.limit(50)))
+    assert out.count() == 3050 and out.where("kept").count() == 1 and minhash.drop_near_duplicates(null).count() == 1
+
+
+def test_nodes_that_share_half_a_digest(spark, monkeypatch):
+    real = minhash.content_digests
+    monkeypatch.setattr(minhash, "content_digests", lambda c: np.stack([real(c)[:, 0] & 3, real(c)[:, 1]], 1))
+    rows = [(k, f"text of number {k // 2} and no other text") for k in range(40)]
+    base = minhash._base(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    signed, nodes = minhash._nodes(base, 5, 26, 5, "set")
+    assert nodes.count() == 20 and signed.select("node").distinct().count() == 20
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     a = np.arange(1, 301, dtype=np.uint64) * np.uint64(7919)
     b = np.concatenate([a[60:], np.arange(9000, 9060, dtype=np.uint64)])
     flat, at = np.concatenate([a, a[:50], a[:50], b]), np.array([0, 400, 700])
-    regions, text = minhash.weigh(flat, at)
+    regions, text = minhash.weigh(flat, at, "log")
     s = minhash.signatures(regions, text, 2, 3000)
     assert np.isfinite(s).all() and abs((s[0] == s[1]).mean() - 240 / (300 + 50 + 60)) < 0.04
 
@@ -342,7 +418,12 @@ def test_dart_signatures_estimate_weighted_similarity():
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(41)) and got[103] == 100
+    assert all(got[i] == 0 for i in range(41)) and got[103] == 100 and set(got) == {*range(41), 100, 101, 103}
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(None, 1)]
+    want = components_of(links[:-1], 300)
+    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {n: min(k for k in got if want[k] == want[n]) for n in got} == got and components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_toxicity(spark):

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: What counts as white space between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys with at least 1/HOT of all rows are joined by broadcast: there can be no more than HOT of them.
+HOT = 1024
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -86,6 +88,22 @@ def sql_string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], heavy: Column, spread: list[str], how: str = "left") -> DataFrame:
+    """``rows`` with the other columns of ``table``, in which each of the ``keys`` occurs once.
+
+    Entries for which ``heavy`` holds are broadcast: the caller sees to it that there are few, such as those with at least
+    1/HOT of all rows. Rows that have found theirs are dealt by a hash of ``spread``, so no key's rows come together in one task.
+    """
+    payload = [c for c in table.columns if c not in keys]
+    hot = table.where(heavy).select(*keys, F.struct(*payload).alias("_hot"))
+    cold = table.where(~heavy).select(*keys, F.struct(*payload).alias("_cold"), F.lit(0).alias("_salt"))
+    salt = F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 20))).otherwise(F.lit(0)).cast("int")
+    both = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).join(cold, [*keys, "_salt"], "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    if how == "inner":
+        both = both.where(F.col("_found").isNotNull())
+    return both.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in payload])
+
+
 def range_index(key: Column, bounds: list, literal) -> Column:
     """How many of the ascending ``bounds`` are at most ``key``: a two-level search over constant arrays.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -9,11 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tickweave.llm.common import materialize, text_of
+from tickweave.llm.common import HOT, join_hot, materialize, text_of
 from tickweave.llm.components import components
-from tickweave.llm.textnum import mix, shingle_hashes, word_hashes
+from tickweave.llm.textnum import buffers, mix, shingle_hashes, word_hashes
 
 #: Words in a shingle, the least similarity of a link, bands and signature coordinates in a band.
 WIDTH, SIMILAR, BANDS, ROWS = 5, 0.8, 26, 5
@@ -21,8 +21,8 @@ WIDTH, SIMILAR, BANDS, ROWS = 5, 0.8, 26, 5
 FIRST, REGIONS = 2.0**-8, 1 << 18
 #: Ranges of hashes in which the shingles that can be common to two texts are counted, a power of 2.
 PARTS = 32
-#: Members of a bucket that a later round compares with all after them, at first; each round takes four times as many.
-ROUND = 32
+#: About so many nodes of a bucket are compared with others in one go.
+CHUNK = 1024
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -36,17 +36,22 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def weigh(shingles: np.ndarray, at: np.ndarray, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's different shingles as unit regions: one, and, if ``counted``, one more for each doubling of the shingle's count."""
+def weigh(shingles: np.ndarray, at: np.ndarray, weight: str = "set") -> tuple[np.ndarray, np.ndarray]:
+    """Each text's weighted shingles as different unit regions, ascending by text, and the text of each.
+
+    A shingle's weight, in regions: 1 ("set"), 1 and one more for each doubling of its count ("log"), or its count ("count").
+    The similarity of two texts is the share of common regions in all regions of both.
+    """
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     order = np.lexsort((shingles, text))
     s, t = shingles[order], text[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
     first = np.flatnonzero(new)
-    weight = np.frexp(np.diff(np.append(first, len(s))).astype(float))[1] if counted else np.ones(len(first), np.int64)
-    layer = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
-    return mix(np.repeat(s[first], weight) + layer.astype(np.uint64) * _A), np.repeat(t[first], weight)
+    times = np.diff(np.append(first, len(s)))
+    size = {"set": np.ones_like(times), "log": np.frexp(times.astype(float))[1].astype(np.int64), "count": times}[weight]
+    layer = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return mix(np.repeat(s[first], size) + layer.astype(np.uint64) * _A), np.repeat(t[first], size)
 
 
 def signatures(regions: np.ndarray, text: np.ndarray, n: int, k: int = BANDS * ROWS) -> np.ndarray:
@@ -86,35 +91,56 @@ def band_keys(ranks: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h.view(np.int64)
 
 
-def content_key(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each text's words in order: equal for texts that differ in white space and A-Z case only."""
-    n = len(at) - 1
-    out = np.full(n, 1, np.uint64)
-    counts = np.diff(at)
-    has = np.flatnonzero(counts > 0)
-    if len(has):
-        place = np.arange(len(words)) - np.repeat(at[:-1], counts)
-        out[has] = np.add.reduceat(mix(words + place.astype(np.uint64) * _C), at[has])
-    return mix(out ^ (counts.astype(np.uint64) * _A)).view(np.int64)
+_LOWER = bytes([32 if chr(c) in "\t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256)])
 
 
-def _sign(column: pa.Array, width: int, bands: int, rows: int) -> tuple[np.ndarray, list]:
-    words, at = word_hashes(column)
-    shingles, sat = shingle_hashes(words, at, width)
-    found: list = [None] * (len(at) - 1)
+def content_digests(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A 128-bit BLAKE2 digest of each text's words, as two numbers: equal for texts that differ in white space and A-Z case only."""
+    data, at = buffers(column)
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        raw = data[a:b].tobytes().translate(_LOWER).strip(b" ")
+        while b"  " in raw:
+            raw = raw.replace(b"  ", b" ")
+        out.append(hashlib.blake2b(raw, digest_size=16).digest())
+    return np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
+
+
+def _lots(sat: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts with at most REGIONS shingles together, or one text."""
     i = 0
-    while i < len(at) - 1:
+    while i < len(sat) - 1:
         j = i + 1
-        while j < len(at) - 1 and sat[j + 1] - sat[i] <= REGIONS:
+        while j < len(sat) - 1 and sat[j + 1] - sat[i] <= REGIONS:
             j += 1
+        yield i, j
+        i = j
+
+
+def _sign(column: pa.Array, width: int, bands: int, rows: int, weight: str) -> list:
+    words, at = word_hashes(column)
+    shingles, sat = shingle_hashes(words, at, width)
+    found: list = [None] * (len(at) - 1)
+    for i, j in _lots(sat):
         some = np.flatnonzero(np.diff(sat[i : j + 1]) > 0)
         if len(some):
-            regions, text = weigh(shingles[sat[i] : sat[j]], sat[i : j + 1] - sat[i], counted=False)
+            regions, text = weigh(shingles[sat[i] : sat[j]], sat[i : j + 1] - sat[i], weight)
             keys = band_keys(signatures(regions, text, j - i, bands * rows), rows)
             for m in some:
                 found[i + m] = keys[m]
-        i = j
-    return content_key(words, at), found
+    return found
+
+
+def _sets(column: pa.Array, width: int, weight: str) -> list[bytes]:
+    """Each text's regions, ascending, as bytes."""
+    words, at = word_hashes(column)
+    shingles, sat = shingle_hashes(words, at, width)
+    found = []
+    for i, j in _lots(sat):
+        regions, text = weigh(shingles[sat[i] : sat[j]], sat[i : j + 1] - sat[i], weight)
+        ends = np.searchsorted(text, np.arange(j - i + 1))
+        found += [np.sort(regions[x:y]).tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    return found
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -127,50 +153,49 @@ def jaccard(a: bytes, b: bytes) -> float:
     return common / (len(x) + len(y) - common)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Classes of near-duplicate texts: connected components of links between texts of Jaccard similarity ``similar`` or more over ``width``-word shingles.
-
-    1. Texts with the same words are one node, however many copies there are.
-    2. Each node's DartMinHash signature of its shingle set (each different shingle weighs one, however often it occurs, as in
-       the similarity of links) gives ``bands`` keys; a pair at 0.8 shares a key with probability 1 - (1 - 0.8**rows)**bands, over 0.9999.
-    3. In each bucket every member is compared with the least one by the exact similarity of their shingle sets, and
-       links join nodes to components. Then, in buckets that still hold several components, further members are
-       compared with all members after them that are in other components, until no such pair is left. Shingles that no other
-       text of these buckets has can't be common to a pair; the others are counted by range of hash, and where the lesser counts of
-       both texts don't add up to the similarity, the pair isn't made. So large groups of near copies cost about a row a member, and no link between different components is passed over.
-
-    Nulls: a null text counts as empty; a null id is allowed and never the class's id unless all are null. Texts without words are
-    copies of each other. A text with fewer than ``width`` words has one shingle. Of repeated rows one is
-    kept; an id that repeats with several texts of one class is kept with each. An empty table gives no rows. Other columns are ignored.
+def _nodes(base: DataFrame, width: int, bands: int, rows: int, weight: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, node, check) of each row, and each node's copy_id, first row (id, h), number of rows, and band keys.
 
-    Returns doc_id, class_id (the least id of the class), copy_id (the least id with the same words), class_size, kept,
-    content_key (a hash of the words in order).
+    A node is half of the digest of a text's words, check the other half; where two digests share a node, their nodes are
+    hashed anew from both halves.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, keys = _sign(b.column(1), width, bands, rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
+            digest = content_digests(b.column(2))
+            keys = pa.array(_sign(b.column(2), width, bands, rows, weight), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), keys], names=["doc_id", "h", "node", "check", "bands"])
 
     id_type = base.schema["doc_id"].dataType.simpleString()
-    signed = materialize(base.mapInArrow(sign, f"doc_id {id_type}, node long, bands array<long>"), "near-signed")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.min_by("bands", F.coalesce("doc_id", F.lit(0))).alias("bands"))
-    member = nodes.where("bands is not null").select("node", "copy_id", F.explode("bands").alias("key"))
+    signed = materialize(base.mapInArrow(sign, f"doc_id {id_type}, h long, node long, check long, bands array<long>"), "near-signed")
+    while True:
+        first = F.min(F.struct("doc_id", "h"))
+        nodes = signed.groupBy("node").agg(F.min("doc_id").alias("copy_id"), first.alias("row"), F.count("*").alias("n"), F.min("check").alias("check"), F.max("check").alias("most"), F.first("bands").alias("bands"))
+        nodes = materialize(nodes, "near-nodes")
+        shared = nodes.where("check <> most").select("node", F.lit(True).alias("shared"))
+        if shared.isEmpty():
+            return signed.drop("bands"), nodes.drop("most")
+        again = F.when(F.col("shared"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+        signed = materialize(signed.join(shared, "node", "left").withColumn("node", again).drop("shared"), "near-signed")
+
+
+def _classes(base: DataFrame, similar: float, width: int, bands: int, rows: int, weight: str) -> DataFrame:
+    """Of each (doc_id, node) of ``base`` (doc_id, h, text): class_id, copy_id, class_size, n_links, first (whether its class keeps it), times and the least h."""
+    signed, nodes = _nodes(base, width, bands, rows, weight)
+    n_nodes, n_rows = nodes.count(), signed.count()
+    member = nodes.where("bands is not null").select("node", F.explode("bands").alias("key"))
     buckets = member.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(member.join(buckets, "key"), "near-members")
+    heavy = F.col("n") >= max(2, -(-n_nodes * bands // HOT))
+    members = materialize(join_hot(member, buckets, ["key"], heavy, ["node"], "inner").select("key", "node", "least"), "near-members")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, at = word_hashes(b.column(0))
-            node = content_key(words, at)
-            mine = np.flatnonzero(node == b.column(1).to_numpy())
-            s, sat = shingle_hashes(words, at, width)
-            sets = [np.unique(s[sat[i] : sat[i + 1]]).tobytes() for i in mine]
-            yield pa.RecordBatch.from_arrays([pa.array(node[mine]), pa.array(sets, pa.binary())], names=["node", "set"])
-
-    wanted = members.select("node", "copy_id").distinct().withColumnRenamed("copy_id", "_id")
-    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "node")
+            mine = np.flatnonzero(content_digests(b.column(0))[:, 1] == b.column(2).to_numpy())
+            b = b.take(pa.array(mine))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(_sets(b.column(0), width, weight), pa.binary())], names=["node", "set"])
+
+    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "check", F.col("row.doc_id").alias("_id"), F.col("row.h").alias("h"))
+    texts = base.join(wanted, (base.h == wanted.h) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "node", "check")
     sets = materialize(texts.mapInArrow(shingles, "node long, set binary").dropDuplicates(["node"]), "near-sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,95 +204,122 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ok = [jaccard(x[i].as_py(), y[i].as_py()) >= similar for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "link"])
 
-    def spread_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            each = [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)]
-            node = np.repeat(b.column(0).to_numpy(), [len(x) for x in each])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(each) if each else np.zeros(0, np.int64))], names=["node", "shingle"])
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            whole = [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)]
-            common = [x if a is None else np.setdiff1d(x, np.array(a, np.int64), assume_unique=True) for x, a in zip(whole, b.column(2).to_pylist(), strict=True)]
-            parts = np.array([np.bincount(x & (PARTS - 1), minlength=PARTS) for x in common], np.int32).reshape(-1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1) * PARTS, pa.int32()), pa.array(parts, pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in whole], pa.int64()), pa.array([len(x) for x in common], pa.int64()), lists], names=["node", "size", "common", "parts"])
-
-    def bounds(some: DataFrame) -> DataFrame:
-        """Of each node, how many shingles it has, how many of them another of these nodes has too, and these by PARTS ranges of hashes."""
-        mine = sets.join(some, "node", "left_semi")
-        once = mine.mapInArrow(spread_sets, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-        alone = once.groupBy("node").agg(F.collect_list("shingle").alias("alone"))
-        return mine.join(alone, "node", "left").select("node", "set", "alone").mapInArrow(measure, "node long, size long, common long, parts array<int>")
-
     def checked(pairs: DataFrame) -> DataFrame:
         one = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         two = one.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         return materialize(two.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long, link boolean"), "near-checked")
 
-    stars = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    done = checked(stars)
-    links = done.where("link")
-    comps = components(links.select("a", "b"))
-    lowest, step = 2, ROUND
-    left = members.where("n > 2").select("key", "node")
-    cols = ["key", "node", "place", "size", "common", "parts", "bands"]
-    while True:
-        now = left.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        several = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-        ranked = now.join(several, "key")
-        if lowest == 2:
-            place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-            ranked = materialize(ranked.select("key", "node", "comp", place.alias("place")), "near-left")
-            ranked = ranked.join(bounds(ranked.select("node").distinct()), "node").join(nodes.select("node", "bands"), "node")
-        ranked = materialize(ranked.select(*cols, "comp"), "near-left")
-        a = ranked.where(F.col("place").between(lowest, lowest + step - 1))
-        a, b = (x.select("key", *[F.col(c).alias(f"{c}_{side}") for c in [*cols[1:], "comp"]]) for x, side in ((a, "a"), (ranked, "b")))
-        enough = lambda most: most >= similar * (F.col("size_a") + F.col("size_b") - most) - 1e-9
-        shared = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-        first = F.get(F.array_intersect("bands_a", "bands_b"), F.lit(0)) == F.col("key")  # a pair is made in one bucket
-        pairs = a.join(b, "key").where((F.col("place_b") > F.col("place_a")) & (F.col("comp_a") != F.col("comp_b")) & enough(F.least("common_a", "common_b")) & enough(shared) & first)
-        pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-        new = checked(pairs.join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        if not new.where("link").isEmpty():
-            links = links.unionByName(new.where("link"))
-            comps = components(links.select("a", "b"))
-        done = done.unionByName(new)
-        lowest, step = lowest + step, 4 * step
-        left = ranked.select(*cols)
-        if ranked.where(F.col("place") > lowest).isEmpty():
-            break
-    each = signed.groupBy("doc_id", "node").agg(F.count("*").alias("times"))
-    whole = each.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    whole = whole.join(nodes.select("node", "copy_id"), "node")
-    sizes = whole.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("times").alias("class_size"))
-    out = whole.join(sizes, "comp")
-    out = out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time"))
-    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("time") == 1)
-    return out.select("doc_id", "class_id", "copy_id", "class_size", kept.alias("kept"), F.col("node").alias("content_key"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class of near duplicates, the one with the least id; columns stay as they are.
-
-    Rows whose id occurs once go by their id alone. Rows of an id that repeats go by id and words, and of equal ones
-    any one stays, so repeating a row never loses its class.
+    stars = checked(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    links = stars.where("link").select("a", "b")
+    comps = materialize(components(links, least=False), "near-components")
+    place = members.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rest = materialize(_several(place).select("key", "node", "comp"), "near-rest")
+    if not rest.isEmpty():
+        pairs = _left_pairs(rest, sets, similar).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+        more = checked(pairs).where("link")
+        names = [rest.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}")).distinct() for side in "ab"]
+        over = components(more.join(names[0], "a").join(names[1], "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), least=False)
+        comps = nodes.select("node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        comps = comps.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("far")), "comp", "left").select("node", F.coalesce("far", "comp").alias("comp"))
+        links = links.unionByName(more.select("a", "b"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    whole = nodes.select("node", "copy_id", "n").join(comps, "node", "left").join(degree, "node", "left")
+    whole = materialize(whole.select("node", "copy_id", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "near-comps")
+    order = F.struct(F.col("copy_id").isNull().alias("without"), "copy_id", "node")
+    sizes = whole.groupBy("comp").agg(F.min(order).alias("top"), F.sum("n").alias("class_size"), F.count("*").alias("k"))
+    sizes = sizes.select("comp", F.col("top.copy_id").alias("class_id"), F.col("top.node").alias("top"), "class_size", "k")
+    classes = join_hot(whole, sizes, ["comp"], F.col("k") >= max(2, -(-n_nodes // HOT)), ["node"]).select("node", "copy_id", "n", "class_id", "class_size", "n_links", (F.col("node") == F.col("top")).alias("first"))
+    each = signed.groupBy("doc_id", "node").agg(F.count("*").alias("times"), F.min("h").alias("h"))
+    found = join_hot(each, classes, ["node"], F.col("n") >= max(2, -(-n_rows // HOT)), ["doc_id"])
+    return found.withColumn("first", F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def _several(place: DataFrame) -> DataFrame:
+    """The rows (key, node, comp, ...) of keys that hold several components."""
+    keys = place.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+    return place.join(keys, "key")
+
+
+def _left_pairs(rest: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes that share a bucket but no component, as far as bounds on their common regions allow ``similar``.
+
+    A region that only one component has can't be common to a pair that is looked for here. A node stays where its other regions
+    alone could make up the similarity. Of a bucket's nodes that stay, those outside of its largest component are paired with all of
+    other components: the bucket's nodes are dealt to chunks of about CHUNK, so a large bucket is many tasks' work; a pair is
+    made where the lesser counts of both, added up over PARTS ranges of regions, allow the similarity. All bounds are exact.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col, **options).select(F.col("doc_id").alias("_tw_id"), F.col("content_key").alias("_tw_key"), "kept"), "near-found")
-    same_id = F.col(id_col).eqNullSafe(F.col("_tw_id"))
-    lost = found.where("not kept").select("_tw_id").distinct()
-    often = found.groupBy("_tw_id").agg(F.count("*").alias("n")).where("n > 1").select("_tw_id")
-    if often.isEmpty():
-        return docs.join(lost, same_id, "left_anti")
-    often = materialize(often, "near-often")
-    i = docs.columns.index(text_col)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def spread_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(content_key(*word_hashes(b.column(i))))], names=[*b.schema.names, "_tw_own"])
+            each = [np.frombuffer(x.as_py(), np.int64) for x in b.column(2)]
+            times = [len(x) for x in each]
+            node, comp = (np.repeat(b.column(i).to_numpy(), times) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(comp), pa.array(np.concatenate(each) if each else np.zeros(0, np.int64))], names=["node", "comp", "region"])
+
+    mine = sets.join(rest.select("node", "comp").distinct(), "node").select("node", "comp", "set")
+    spread = materialize(mine.mapInArrow(spread_sets, "node long, comp long, region long"), "near-regions")
+    common = spread.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("times")).where("c0 <> c1").select("region", "times")
+    heavy = F.col("times") >= max(2, -(-spread.count() // HOT))
+    both = join_hot(spread.select("node", "region"), common, ["region"], heavy, ["node"])
+    part = F.pmod("region", F.lit(PARTS))
+    count = both.groupBy("node", part.alias("part")).agg(F.count("*").alias("size"), F.count("times").alias("common"))
+    bound = count.groupBy("node").agg(F.sum("size").alias("size"), F.sum("common").alias("common"), F.map_from_entries(F.collect_list(F.struct("part", "common"))).alias("by_part"))
+    bound = bound.where(F.col("common") >= similar * F.col("size") - 1e-9).select("node", "size", "common", "by_part")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.coalesce(F.try_element_at("by_part", k.cast("long")), F.lit(0).cast("long")))
+    stay = materialize(_several(rest.join(bound.select("node", "size", "common", parts.alias("parts")), "node")), "near-stay")
+    per = stay.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    per = per.groupBy("key").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), (1 + F.floor(F.sum("k") / CHUNK)).cast("int").alias("chunks"))
+    stay = stay.join(per, "key").withColumn("outer", F.col("comp") != F.col("main"))
+    cols = ["node", "comp", "size", "common", "parts", "outer"]
+    named = lambda df, side: df.select("key", "chunk", *[F.col(c).alias(f"{c}_{side}") for c in cols])
+    a = named(stay.where("outer").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))), "a")
+    b = named(stay.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "b")
+    enough = lambda most: most >= similar * (F.col("size_a") + F.col("size_b") - most) - 1e-9
+    shared = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda x, y: x + y)
+    once = ~F.col("outer_b") | (F.col("node_a") < F.col("node_b"))
+    pairs = a.join(b, ["key", "chunk"]).where((F.col("comp_a") != F.col("comp_b")) & once & enough(F.least("common_a", "common_b")) & enough(shared))
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = text_of(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, weight: str = "set") -> DataFrame:
+    """Classes of near-duplicate texts: connected components of links between texts of Jaccard similarity ``similar`` or more over ``width``-word shingles.
+
+    1. Texts with the same words (by a 128-bit digest) are one node, however many copies there are.
+    2. Each node's DartMinHash signature of its weighted shingles gives ``bands`` keys; a pair at 0.8 shares a key with
+       probability 1 - (1 - 0.8**rows)**bands, over 0.9999. ``weight`` says what a shingle weighs (see ``weigh``); signatures and
+       the similarity of links go by the same weights. "set": each different shingle weighs one, so it is the sets' similarity.
+    3. In each bucket every member is compared with the least one by the exact similarity, and links join nodes to components.
+       In buckets that still hold several components, all pairs between components that exact bounds allow are compared too.
+
+    Large groups of near copies cost about a row a member, keys and classes with at least 1/HOT of all rows are joined by broadcast,
+    and no link between different components of a bucket is passed over.
+
+    Nulls: a null text counts as empty; a null id is allowed and never the class's id unless all are null. Texts without words are
+    copies of each other. A text with fewer than ``width`` words has one shingle. Of repeated rows one is kept, of each class one.
+    Ids may be of any type that can be ordered. An empty table gives no rows. Other columns are ignored.
 
-    again = docs.join(often, same_id, "left_semi")
-    again = again.mapInArrow(keyed, again.withColumn("_tw_own", F.lit(0).cast("long")).schema)
-    stay = found.where("kept").select("_tw_id", "_tw_key").distinct()
-    again = again.join(stay, same_id & (F.col("_tw_own") == F.col("_tw_key")), "left_semi").dropDuplicates([id_col, "_tw_own"]).drop("_tw_own")
-    return docs.join(often, same_id, "left_anti").join(lost, same_id, "left_anti").unionByName(again)
+    Returns doc_id, class_id (the least id of the class), copy_id (the least id with the same words), class_size, n_links (links
+    that were found from the row's text to different texts: enough to hold the class together, not all), kept, content_key.
+    """
+    out = _classes(_base(docs, id_col, text_col), similar, width, bands, rows, weight).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time"))
+    return out.select("doc_id", "class_id", "copy_id", "class_size", "n_links", (F.col("first") & (F.col("time") == 1)).alias("kept"), F.col("node").alias("content_key"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, weight: str = "set") -> DataFrame:
+    """``docs`` with one row of each class of near duplicates, one with the least id; columns stay as they are.
+
+    A row goes by its id and a hash of its text; where the row that stays is repeated, any one of these rows stays. Nulls, ties and
+    empty tables are as in ``near_duplicates``; a column named _tw_own must not exist.
+    """
+    found = _classes(_base(docs, id_col, text_col), similar, width, bands, rows, weight).where("first")
+    stay = materialize(found.select(F.col("doc_id").alias("_tw_id"), F.col("h").alias("_tw_h"), "times"), "near-kept")
+    same = F.col(id_col).eqNullSafe(F.col("_tw_id")) & (F.col("_tw_own") == F.col("_tw_h"))
+    out = docs.withColumn("_tw_own", F.xxhash64(text_of(text_col))).join(stay.drop("times"), same, "left_semi")
+    if not stay.where("times > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "_tw_own"])
+    return out.drop("_tw_own")
