@@ -5,6 +5,7 @@ import html
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -219,9 +220,9 @@ def test_html(spark):
     <div class="cookie-notice"><p>We use cookies on this site, and it is what you have to know of it.</p></div><div class="ad">Buy it.</div>
     <article><h1>A &amp; B</h1><p><b>It was the best<br>of&nbsp;times.<p>Short.</p><!-- no --><p>caf&eacute; &#8212; x</p><aside>Aside</aside><form><p>Name</p></form></article>
     <section id="comments"><p>I think that this is the best of all that I have read.</p></section><footer>&copy; 2020</footer>"""
-    assert html_extract.main_text(page) == "A & B\nIt was the best of times.\nShort.\ncafé — x"
+    assert html_extract.main_text(page) == "A & B\n\nIt was the best of times.\n\nShort.\n\ncafé — x"
     soup = "<div class=sidebar>More</div><div><p>" + "It was the best of times and it was the worst of times. " * 5 + "</p><p>Yes.</p><p><a href=x>Link to it</a></p></div>"
-    assert html_extract.main_text(soup).endswith("\nYes.") and "More" not in html_extract.main_text(soup)
+    assert html_extract.main_text(soup).endswith("\n\nYes.") and "More" not in html_extract.main_text(soup)
     df = spark.createDataFrame([(1, "u", page, 1), (2, None, None, 1), (None, "v", "", 1), (3, "w", "<<>>< p", 1), (4, "x", "<p>" + "the word is of it " * 5000, 1)], "page_id long, url string, html string, text int")
     out = {r["page_id"]: r for r in html_extract.extract_pages(df).collect()}
     assert out[2]["text"] == "" and out[1]["n_chars"] == len(out[1]["text"]) and out[4]["n_chars"] == 5000 * 18 - 1 and len(out) == 5
@@ -232,17 +233,58 @@ def test_html_prose_overrules_names():
     """Articles in wrappers with boilerplate names or forms, and bodies beside a good name, aren't lost; comments still are."""
     said = "It was the best of times and it was the worst of times, and this is what we have to say of it. "
     body, nav = f"<p>{said * 4}</p><p>{said * 3}</p>", "<nav><a href=/>Home</a></nav>"
-    want = "\n".join([(said * 4).strip(), (said * 3).strip()])
+    want = "\n\n".join([(said * 4).strip(), (said * 3).strip()])
     wraps = ["<form id=aspnetForm>%s</form>", "<div class='layout has-sidebar'>%s</div>", "<div class=content-with-ads>%s</div>", "<div id=search-results>%s</div>"]
     for w in wraps:
         for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"):
             assert html_extract.main_text(nav + w % inner) == want, (w, inner)
-    assert html_extract.main_text(f"{nav}<h1 class='post-title'>T</h1><div class='text'>{body}</div>") == "T\n" + want
+    assert html_extract.main_text(f"{nav}<h1 class='post-title'>T</h1><div class='text'>{body}</div>") == "T\n\n" + want
     comments = f"<div id=comments>{body * 5}</div><aside>{body}</aside><div style='display:none'>{body}</div>"
     assert html_extract.main_text(f"<article>{body}</article>{comments}") == want
     assert html_extract.main_text(f"<div style='display:none'><article>{body}</article></div>") == ""
 
 
+def test_html_names_of_layout_and_odd_markup():
+    said = "It was the best of times and it was the worst of times, and this is what we have to say of it. "
+    odd = "Zzyx qwv plok mnbt rrty, ghjk vbnm tyui opas dfgh jklz xcvb nmqw erty. " * 4
+    for text in (said * 4, odd):
+        text = text.strip()
+        for start, end in (("<main class='page with-sidebar'>", "</main>"), ("<div class='post has-comments'>", "</div>"), ("<article class=no-sidebar>", "</article>"), ("<article>", "</article>")):
+            assert html_extract.main_text(f"<nav><a href=x>A</a></nav>{start}<p title=it's>{text}</p>{end}<footer>f</footer>") == text
+    assert html_extract.main_text(f"<article><p>{said}Now <span class=ad>these</span> words<span hidden> not</span>.</p><article class=comment><p>{said}</p></article></article>") == said + "Now these words."
+    assert html_extract.main_text("<p>" + said * 3 + '<a title="a > b" href=x>y</a></p>') == said * 3 + "y"
+    began = time.time()
+    deep = "<div>" * 20000 + said * 3 + "</p></section>" * 20000
+    assert html_extract.main_text(deep) == (said * 3).strip()
+    assert html_extract.main_text("<svg><span hidden><b>" * 20000 + said * 3) and html_extract.main_text("<p>a " * 30000) == ""
+    assert time.time() - began < 20
+
+
+def test_html_densities_decide(spark):
+    """Without marks, and under them: labels come from densities, ambiguous blocks from a second pass as brute force does it."""
+    words, rng = ["the", "and", "of", "was"], random.Random(6)
+    for mark in (False, True):
+        for _ in range(300):
+            page, kinds = [], []
+            for k in range(rng.randrange(1, 12)):
+                kind = rng.choice(["prose", "short", "links", "names", "middling"])
+                n, stop = {"prose": (40, 0.5), "short": (4, 0.5), "links": (20, 0.3), "names": (40, 0.0), "middling": (20, 0.2)}[kind]
+                text = " ".join(words[j % 4] if j < n * stop else f"Nm{k}x{j}" for j in range(n))
+                kinds.append((kind, text))
+                page.append(f"<p>{'<a href=u>' if kind == 'links' else ''}{text}{'</a>' if kind == 'links' else ''}</p>")
+            first = [{"prose": True, "links": False, "names": None if mark else False}.get(kind) for kind, _ in kinds]
+            if mark and True not in first:
+                want = [x is None for x in first]
+            else:
+                want = []
+                for i, x in enumerate(first):
+                    near = sorted((abs(i - j), not y) for j, y in enumerate(first) if y is not None)
+                    want.append(x if x is not None else bool(near) and not near[0][1])
+            if mark or True in first:
+                text = ("<article>%s</article>" if mark else "<div>%s</div>") % "".join(page)
+                assert html_extract.main_text(text) == "\n\n".join(t for (_, t), w in zip(kinds, want) if w), (mark, kinds)
+
+
 def test_lm(docs, texts):
     out = lm.score_documents(docs, block_bytes=1 << 14).collect()
     words = [(i, t.encode().lower().split() + [None]) for i, t in texts]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +31,17 @@ BAD_NAMES = frozenset(
     "related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets alert alerts complementary aside rail teaser".split()
 )
 GOOD_NAMES = frozenset("articlebody content entry main post story maincontent".split())
+#: Words that tell what is around or beside an element ("has-sidebar"); its boilerplate names don't count then.
+LAYOUT = frozenset("has with no without page layout wrapper".split())
+#: Names that count on an article element: sites mark readers' comments as articles.
+COMMENTS = frozenset("comment comments discussion reply replies respond teaser".split())
 
 #: Blocks: link density over which one is boilerplate; characters below which one is short; stop-word shares of prose and of likely prose; characters of long prose.
 LINKS, SHORT, PROSE, LIKELY, LONG = 0.3, 70, 0.30, 0.12, 200
 _STOPS = frozenset(w for words in STOP_WORDS.values() for w in words)
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$))|=)*)(?:>|$)", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|([^\s=/\"'>]+)")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -53,6 +58,7 @@ class Block:
     main: bool
     good_name: bool
     heading: bool
+    share: float = 0.0  # of stop words in its words, of blocks that aren't short
 
 
 def _names(attributes: str) -> tuple[set[str], bool]:
@@ -62,9 +68,10 @@ def _names(attributes: str) -> tuple[set[str], bool]:
     for key, a, b, c, flag in _ATTRIBUTE.findall(attributes):
         key, value = (key or flag).lower(), a or b or c
         if key in ("class", "id", "role"):
-            words = [w.lower() for w in _NAME.findall(html.unescape(value))]
-            names.update(words)
-            names.update(map("".join, zip(words, words[1:], strict=False)))
+            for one in html.unescape(value).split():
+                words = [w.lower() for w in _NAME.findall(one)]
+                mine = {*words, *map("".join, zip(words, words[1:], strict=False))}
+                names |= mine if LAYOUT.isdisjoint(words) else mine - BAD_NAMES
         elif key == "itemprop" and value.lower() == "articlebody":
             names.add("articlebody")
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -78,6 +85,16 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool, bool, bool]] = []  # element, and whether it is boilerplate, such by its element or hidden, main text, or named as main text
     text: list[str] = []
     linked, in_link, heading = 0, 0, False
+    open_tags: Counter[str] = Counter()
+    unclosed: set[str] = set()  # elements that have no closing tag from here on
+
+    def closing_tag(tag: str, at: int) -> re.Match | None:
+        if tag in unclosed:
+            return None
+        end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+        if end is None:
+            unclosed.add(tag)
+        return end
 
     def flush() -> None:
         nonlocal linked, heading
@@ -85,7 +102,7 @@ def blocks_of(page: str) -> list[Block]:
             whole = " ".join("".join(text).split())
             if whole:
                 _, bad, hard, main, good = stack[-1] if stack else ("", False, False, False, False)
-                blocks.append(Block(whole, linked, bad, hard, main, good, heading))
+                blocks.append(Block(whole, linked, bad, hard, main, good, heading, _density(whole) if len(whole) >= SHORT else 0.0))
             text.clear()
         linked = 0
 
@@ -111,7 +128,7 @@ def blocks_of(page: str) -> list[Block]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW:
             if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                end = closing_tag(tag, at)
                 at = end.end() if end else len(page) if tag in ("script", "style", "textarea", "title") else at
             continue
         if tag == "a":
@@ -122,17 +139,17 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in INLINE:
             if not closing and tag not in VOID:
-                names, hidden = _names(m[3]) if m[3] else (set(), False)
-                if hidden or names & BAD_NAMES:  # inline boilerplate, such as a badge: its text goes
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                    if end and "<" not in page[at : end.start()]:
+                if m[3] and _names(m[3])[1]:  # hidden words inside a line
+                    end = closing_tag(tag, at)
+                    if end and page.find("<", at) == end.start():
                         at = end.end()
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while open_tags[tag]:
+                last = stack.pop()[0]
+                open_tags[last] -= 1
+                if last == tag:
                     break
             in_link, heading = 0, False
             continue
@@ -140,16 +157,17 @@ def blocks_of(page: str) -> list[Block]:
             continue
         heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         if stack and (stack[-1][0] == "p" or tag in (_IMPLIED.get(stack[-1][0]) or ())):
-            stack.pop()
+            open_tags[stack.pop()[0]] -= 1
         _, bad, hard, main, good = stack[-1] if stack else ("", False, False, False, False)
         names, hidden = _names(m[3]) if m[3] else (set(), False)
         if tag not in ("html", "body"):
-            own = names - {"header", "content"} if tag in MAIN else names
+            own = names & COMMENTS if tag == "article" else set() if tag == "main" else names
             bad = bad or hidden or tag in BOILERPLATE or bool(own & BAD_NAMES) or (not main and (tag == "header" or bool(names & {"header", "head"})))
             hard = hard or hidden or tag in BOILERPLATE - WRAPPERS
             main = main or tag in MAIN or "articlebody" in names
             good = good or main or bool(names & GOOD_NAMES) and not bad
         stack.append((tag, bad, hard, main, good))
+        open_tags[tag] += 1
     flush()
     return blocks
 
@@ -159,11 +177,15 @@ def _density(text: str) -> float:
     return sum(w in _STOPS for w in words) / len(words)
 
 
-def _prose(b: Block) -> bool:
-    if b.hard or len(b.text) < SHORT or b.linked > LINKS * len(b.text):
+def _decide(b: Block) -> bool | None:
+    """A block's label by its length, link density and stop-word density; None: ambiguous."""
+    if b.linked > LINKS * len(b.text):
         return False
-    share = _density(b.text)
-    return share >= PROSE or share >= LIKELY and len(b.text) >= LONG
+    if len(b.text) < SHORT:
+        return None
+    if b.share >= PROSE or b.share >= LIKELY and len(b.text) >= LONG:
+        return True
+    return None if b.share >= LIKELY else False
 
 
 def classify(blocks: list[Block]) -> list[bool]:
@@ -173,9 +195,12 @@ def classify(blocks: list[Block]) -> list[bool]:
     blocks have that no boilerplate name covers, and, if that is less than LONG characters, as those that one covers. Else they are taken back
     one by one until that is so: first names around an article or main element, then names that mark the main text, then
     elements that mark it, then names around prose. What hidden or other boilerplate elements than forms hold never comes in.
+    On a page without any prose by stop words, long blocks without many links count as such.
     """
-    out = _by_marks(blocks)
-    prose = [len(b.text) if _prose(b) else 0 for b in blocks]
+    out = _two_passes(blocks)
+    free = [b for b in blocks if not b.hard and len(b.text) >= SHORT and b.linked <= LINKS * len(b.text)]
+    some = any(_decide(b) for b in free)
+    prose = [len(b.text) if not b.hard and (_decide(b) if some else len(b.text) >= LONG and b.linked <= LINKS * len(b.text)) else 0 for b in blocks]
 
     def holds(out: list[bool]) -> bool:
         kept = sum(n for n, x in zip(prose, out, strict=True) if x)
@@ -188,50 +213,52 @@ def classify(blocks: list[Block]) -> list[bool]:
     unnamed = [replace(b, good_name=False) for b in blocks]
     unmarked = [replace(b, main=False) for b in unnamed]
     bare = [replace(b, bad=b.hard or b.bad and not n) for b, n in zip(unmarked, prose, strict=True)]
-    for some in (nested, unnamed, unmarked):
-        out = _by_marks(some)
+    for fewer in (nested, unnamed, unmarked):
+        out = _two_passes(fewer)
         if holds(out):
             return out
-    return _by_marks(bare)
+    return _two_passes(bare)
 
 
-def _by_marks(blocks: list[Block]) -> list[bool]:
-    """Which blocks are main text, as names and marks say.
+def _two_passes(blocks: list[Block]) -> list[bool]:
+    """Which blocks are main text, by their densities and by those around them.
 
-    First pass: boilerplate elements and blocks made of links are out; on pages that mark the main text, so are blocks outside of it;
-    long blocks are in by their share of stop words, or by standing where the page marks the main text; short blocks stay undecided.
-    Second pass: an undecided block takes the label of the nearest decided block; between two different ones as near, that
-    of a block under the same mark. Blocks that boilerplate elements hold don't vote for those under a mark.
+    First pass: length, link density and stop-word density decide; short blocks and those of middling density stay ambiguous. A page's marks shift
+    this: blocks of boilerplate elements, and blocks outside of what the page marks as main text, are out; inside of it, headings
+    may be links, and a block of few stop words (a table, names, an unknown language) is ambiguous instead of out.
+    Second pass: an ambiguous block takes the label of the nearest decided block; between two different ones as near, a heading goes
+    with what follows it, any other block with main text. Under a mark only blocks under it count, and if none of them is
+    decided to be main text, its ambiguous blocks are in.
     """
     marked = any(b.main and not b.bad for b in blocks)
     named = not marked and any(b.good_name and not b.bad for b in blocks)
     label: list[bool | None] = []
-    for b in blocks:
+    voters: list[int] = []
+    for i, b in enumerate(blocks):
         inside = b.main or named and b.good_name
-        if b.bad or b.linked > LINKS * len(b.text) and not (inside and b.heading):
-            label.append(False)
-        elif (marked or named) and not inside:
-            label.append(False)
-        elif len(b.text) < SHORT:
-            label.append(None)
-        else:
-            share = _density(b.text)
-            label.append(True if inside or share >= PROSE or share >= LIKELY and len(b.text) >= LONG else None if share >= LIKELY else False)
-    decided = [i for i, x in enumerate(label) if x is not None and not ((marked or named) and label[i] is False and not (blocks[i].main or named and blocks[i].good_name) or blocks[i].bad)]
+        found = _decide(b)
+        if b.bad or (marked or named) and not inside:
+            found = False
+        elif inside and (b.linked <= LINKS * len(b.text) or b.heading):
+            found = found or None
+        label.append(found)
+        if found is not None and not b.bad and (inside or not (marked or named)):
+            voters.append(i)
+    if (marked or named) and not any(label[i] for i in voters):
+        voters = []
     out: list[bool] = []
     for i, x in enumerate(label):
         if x is not None:
             out.append(x)
             continue
-        k = int(np.searchsorted(decided, i))
-        before = decided[k - 1] if k > 0 else None
-        after = decided[k] if k < len(decided) else None
+        k = bisect_left(voters, i)
+        before, after = voters[k - 1] if k > 0 else None, voters[k] if k < len(voters) else None
         if before is None and after is None:
             out.append(marked or named)
         elif before is None or after is None:
             out.append(bool(label[after if before is None else before]))
         elif i - before == after - i:
-            out.append(bool(label[after]) if blocks[i].heading else bool(label[before]) or bool(label[after]))
+            out.append(bool(label[after]) if blocks[i].heading else bool(label[before] or label[after]))
         else:
             out.append(bool(label[before if i - before < after - i else after]))
     return out
@@ -239,14 +266,15 @@ def _by_marks(blocks: list[Block]) -> list[bool]:
 
 def main_text(page: str) -> str:
     found = blocks_of(page)
-    return "\n".join(b.text for b, keep in zip(found, classify(found), strict=True) if keep)
+    return "\n\n".join(b.text for b, keep in zip(found, classify(found), strict=True) if keep)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of each whole page.
 
     Nulls: null html counts as empty, and an empty page has an empty text; ids and urls go through as they are. Repeated rows
-    give repeated results. Other columns are ignored. An empty table gives no rows. Nothing is cut or capped.
+    give repeated results. Other columns are ignored. An empty table gives no rows. Nothing is cut or capped; the time is in
+    proportion to a page's length. Blocks are joined by an empty line.
 
     Returns page_id, url, text, n_chars (code points).
     """
