@@ -213,7 +213,7 @@ def _classes(base: DataFrame, similar: float, width: int, bands: int, rows: int,
     links = stars.where("link").select("a", "b")
     comps = materialize(components(links, least=False), "near-components")
     place = members.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = materialize(_several(place).select("key", "node", "comp"), "near-rest")
+    rest = materialize(_several(place, members.count()).select("key", "node", "comp"), "near-rest")
     if not rest.isEmpty():
         pairs = _left_pairs(rest, sets, similar).join(stars.select("a", "b"), ["a", "b"], "left_anti")
         more = checked(pairs).where("link")
@@ -234,10 +234,10 @@ def _classes(base: DataFrame, similar: float, width: int, bands: int, rows: int,
     return found.withColumn("first", F.col("first") & F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
-def _several(place: DataFrame) -> DataFrame:
-    """The rows (key, node, comp, ...) of keys that hold several components."""
-    keys = place.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    return place.join(keys, "key")
+def _several(place: DataFrame, total: int) -> DataFrame:
+    """The rows (key, node, comp, ...), ``total`` at most, of keys that hold several components, with n, the key's rows."""
+    keys = place.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("key", "n")
+    return join_hot(place, keys, ["key"], F.col("n") >= max(2, -(-total // HOT)), ["node"], "inner")
 
 
 def _left_pairs(rest: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -266,7 +266,7 @@ def _left_pairs(rest: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     bound = count.groupBy("node").agg(F.sum("size").alias("size"), F.sum("common").alias("common"), F.map_from_entries(F.collect_list(F.struct("part", "common"))).alias("by_part"))
     bound = bound.where(F.col("common") >= similar * F.col("size") - 1e-9).select("node", "size", "common", "by_part")
     parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.coalesce(F.try_element_at("by_part", k.cast("long")), F.lit(0).cast("long")))
-    stay = materialize(_several(rest.join(bound.select("node", "size", "common", parts.alias("parts")), "node")), "near-stay")
+    stay = materialize(_several(rest.join(bound.select("node", "size", "common", parts.alias("parts")), "node"), rest.count()), "near-stay").drop("n")
     per = stay.groupBy("key", "comp").agg(F.count("*").alias("k"))
     per = per.groupBy("key").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), (1 + F.floor(F.sum("k") / CHUNK)).cast("int").alias("chunks"))
     stay = stay.join(per, "key").withColumn("outer", F.col("comp") != F.col("main"))
