@@ -59,12 +59,41 @@ def test_sharding(docs, texts):
     assert sorted(zip(out["size"], out.text_crc32)) == sorted((len(t.encode()) + 16, zlib.crc32(t.encode())) for _, t in texts)
     g = out.groupby("shard")
     assert all(sorted(s) == list(range(len(s))) for _, s in g.slot)
-    assert (g["size"].sum() - out["size"].sum() / 7).abs().max() <= out["size"].max()
+    mean = out["size"].sum() / 7
+    assert (g["size"].sum() - mean).abs().max() <= out["size"].max() + 2 * sharding.TOLERANCE * mean
     same = sharding.shard_documents(docs.repartition(5), 7).toPandas()
     assert Counter(zip(out.doc_id.fillna(-1), out.shard, out["size"])) == Counter(zip(same.doc_id.fillna(-1), same.shard, same["size"]))
     assert sharding.shard_documents(docs.limit(0)).count() == 0
-    hot = docs.sparkSession.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same").alias("text"))
-    assert sharding.shard_documents(hot, 4).groupBy("shard").count().select(F.max("count") - F.min("count")).first()[0] <= 1
+    spark = docs.sparkSession
+    hot = spark.range(30000).select(F.lit("one").alias("doc_id"), F.lit("same").alias("text")).unionByName(spark.range(20000).select(F.col("id").cast("string").alias("doc_id"), F.lit("same").alias("text")))
+    out = sharding.shard_documents(hot.unionByName(spark.createDataFrame([(None, "y" * 9)] * 3, "doc_id string, text string")), 8).toPandas()
+    assert (out.groupby("shard").size() - len(out) / 8).abs().max() <= 1 + 3 * sharding.TOLERANCE * len(out) / 8
+    assert all(sorted(s) == list(range(len(s))) for _, s in out.groupby("shard").slot)
+
+
+def test_sharding_goes_by_its_ranges(docs, texts, monkeypatch):
+    """A shard is a run of whole ranges between splitters, found again here from the splitters; without splitters there is one range."""
+    seen = []
+    real = sharding.range_index
+    monkeypatch.setattr(sharding, "range_index", lambda key, bounds, literal: seen.append(bounds) or real(key, bounds, literal))
+    out = sharding.shard_documents(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), 5)
+    keys = out.join(docs.dropDuplicates(["doc_id"]), "doc_id").select("shard", "slot", "size", F.concat(F.lpad(F.hex(F.xxhash64(F.coalesce("text", F.lit("")))), 16, "0"), F.lpad(F.hex(F.xxhash64(F.col("doc_id").cast("string"))), 16, "0")).alias("k")).collect()
+    bounds, total = seen[-1], sum(r["size"] for r in keys)
+    assert len(seen) > 1 and set(seen[0]) < set(bounds)
+    ranges = {}
+    for r in keys:
+        ranges.setdefault(sum(b <= r["k"] + "0" * 16 for b in bounds), []).append(r)
+    at, line = 0, []
+    for _, rs in sorted(ranges.items()):
+        size = sum(r["size"] for r in rs)
+        assert {r["shard"] for r in rs} == {min(4, int((at + size / 2) * 5 / total))}
+        at += size
+        line += sorted(rs, key=lambda r: r["k"])
+    assert [(r["shard"], r["slot"]) for r in line] == sorted((r["shard"], r["slot"]) for r in line)
+    monkeypatch.setattr(sharding, "_quantiles", lambda sample, parts: set())
+    monkeypatch.setattr(sharding, "TOLERANCE", 9.0)
+    monkeypatch.setattr(sharding, "OVERFULL", 1e9)
+    assert sharding.shard_documents(docs, 5).select("shard").distinct().count() == 1
 
 
 def test_exact_dedup(docs, texts):

@@ -7,82 +7,95 @@ from pyspark.sql import functions as F
 
 from tickweave.llm.common import materialize, range_index, sql_string, text_of, unit_hash
 
-#: Ranges are at least this many, and at most MAX_RANGES; between them a range holds about ROWS_PER_RANGE rows.
-MIN_RANGES, MAX_RANGES, ROWS_PER_RANGE = 64, 4096, 500_000
-#: Key samples drawn for each range; with MAX_RANGES this bounds what the driver gets.
-SAMPLES_PER_RANGE = 16
-#: A range with more than this many times the mean bytes is overfull.
-OVERFULL = 2.0
-MAX_ROUNDS = 6
+#: Ranges at first: so many a shard, and so many more that a range holds about ROWS_PER_RANGE rows, MAX_RANGES at most.
+RANGES_PER_SHARD, MAX_RANGES, ROWS_PER_RANGE = 4, 4096, 500_000
+#: Key samples drawn for each range that is wanted, and parts that an overfull range is subdivided into.
+SAMPLES_PER_RANGE, PARTS = 16, 16
+#: A range with more than this many times the mean bytes is overfull; so is one at a shard's end with over this share of a shard's bytes.
+OVERFULL, TOLERANCE = 2.0, 1 / 512
 
 
-def _sample(rows: DataFrame, n: int, seed: int) -> list[str]:
-    """``n`` keys drawn without replacement, each with a chance in proportion to its size."""
-    drawn = rows.select("key", (-F.log(unit_hash(F.col("key"), F.lit(seed))) / F.col("size")).alias("_at"))
-    return sorted(r["key"] for r in drawn.orderBy("_at", "key").limit(n).select("key").collect())
+def _sample(rows: DataFrame, n: int, total: int, seed: int) -> list[str]:
+    """About ``n`` different keys, drawn with a chance in proportion to their size."""
+    chance = F.col("size") * (float(n) / max(total, 1))
+    return sorted(r["key"] for r in rows.where(unit_hash(F.col("key"), F.lit(seed)) < chance).select("key").distinct().collect())
 
 
-def _splitters(sample: list[str], ranges: int) -> list[str]:
-    return sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+def _quantiles(sample: list[str], parts: int) -> set[str]:
+    return {sample[len(sample) * i // parts] for i in range(1, parts)} if sample else set()
+
+
+def _shards_of(sums: list, n_shards: int, total: int) -> tuple[list[int], list[bool]]:
+    """Each range's shard, that in which the middle of its bytes lies, and whether a shard's end lies within it."""
+    shards, cut, at = [], [], 0
+    for size in sums:
+        shards.append(min(n_shards - 1, int((2 * at + size) * n_shards // (2 * max(total, 1)))))
+        first, last = at * n_shards // max(total, 1), (at + size - 1) * n_shards // max(total, 1)
+        cut.append(size > 0 and first != last)
+        at += size
+    return shards, cut
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, seed: int = 7) -> DataFrame:
     """Put each row into one of ``n_shards`` shards of near equal bytes.
 
     Rows are ordered by (hash of the text, id), so that equal texts are neighbours. A size-weighted sample of
-    these keys gives splitters at its quantiles; rows are dealt to ranges between splitters; a range with over
-    OVERFULL times the mean bytes is sampled anew and subdivided. Exact byte sums of the ranges then place
-    every row on one line of bytes, cut into ``n_shards`` equal parts: a shard's bytes differ from the mean by
-    at most one row's size. A key that repeats (same id and text) can't be subdivided by keys; its range is
-    still cut at the exact byte.
+    these keys gives splitters at its quantiles, and rows are dealt to the ranges between splitters. A range is overfull if it has over
+    OVERFULL times the mean bytes, or if a shard's end lies within it and it has over TOLERANCE of a shard's bytes: it is sampled
+    anew and subdivided, until no range is overfull that has two rows. Whole ranges in order make up the shards, so a shard's
+    bytes differ from the mean by TOLERANCE of it or by one row's size at either end. Rows that share a key (same id and text) are
+    subdivided by quantiles of their place in the table.
 
     Only key, id, size and checksum are shuffled, never texts. Nulls: a null text has no bytes and the
-    checksum of the empty text; a null id is allowed. Ties are repeated rows and get neighbouring slots.
+    checksum of the empty text; a null id is allowed. Ids may be of any type that has a text form. Ties are repeated rows and get neighbouring slots.
     An empty table gives no rows. Other columns of ``docs`` are ignored, whatever their names.
 
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard.
     """
     text = text_of(text_col)
+    padded = lambda c: F.lpad(F.hex(c), 16, "0")
     made = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select(
         "doc_id",
         (F.octet_length("t").cast("long") + overhead).alias("size"),
         F.crc32(F.encode("t", "UTF-8")).alias("text_crc32"),
-        F.concat(F.lpad(F.hex(F.xxhash64("t")), 16, "0"), F.coalesce(F.lpad(F.hex(F.col("doc_id").cast("long")), 16, "0"), F.lit("-"))).alias("key"),
+        F.concat(padded(F.xxhash64("t")), F.coalesce(padded(F.xxhash64(F.col("doc_id").cast("string"))), F.lit("-" * 16))).alias("key"),
+        padded(F.monotonically_increasing_id()).alias("place"),
     )
     rows = materialize(made, "shard-rows")
     n, total = rows.agg(F.count("*"), F.sum("size")).first()
     total = total or 0
-    ranges = max(MIN_RANGES, min(MAX_RANGES, n // ROWS_PER_RANGE))
-    bounds = _splitters(_sample(rows, ranges * SAMPLES_PER_RANGE, seed), ranges)
-    for attempt in range(MAX_ROUNDS):
-        dealt = rows.withColumn("range", range_index(F.col("key"), bounds, sql_string))
-        sums = {r["range"]: r for r in dealt.groupBy("range").agg(F.sum("size").alias("size"), F.count("*").alias("n"), (F.min("key") == F.max("key")).alias("one")).collect()}
-        over = [k for k, r in sums.items() if r["size"] > OVERFULL * total / ranges and not r["one"]]
-        if not over or attempt == MAX_ROUNDS - 1:
-            break
-        parts = sum(int(sums[k]["size"] * ranges / total) + 1 for k in over)
-        more = _sample(dealt.where(F.col("range").isin(over)), parts * SAMPLES_PER_RANGE, seed + 1 + attempt)
-        grown = sorted({*bounds, *_splitters(more, parts)})
-        if grown == bounds:
+    ranges = max(RANGES_PER_SHARD * n_shards, min(MAX_RANGES, n // ROWS_PER_RANGE))
+    bounds = sorted(_quantiles(_sample(rows, ranges * SAMPLES_PER_RANGE, total, seed), ranges))
+    whole = F.concat("key", "place")
+    while True:
+        dealt = rows.withColumn("range", range_index(whole, bounds, sql_string))
+        found = {r["range"]: r for r in dealt.groupBy("range").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()}
+        sizes = [found[k]["size"] if k in found else 0 for k in range(len(bounds) + 1)]
+        shards, cut = _shards_of(sizes, n_shards, total)
+        over = [k for k, r in found.items() if r["n"] > 1 and (r["size"] > OVERFULL * total / ranges or cut[k] and r["size"] > TOLERANCE * total / n_shards)]
+        if not over:
             break
-        bounds = grown
-    first_byte, first_row, at, count = [], [], 0, 0
-    for k in range(len(bounds) + 1):
-        first_byte.append(at)
-        first_row.append(count)
-        if k in sums:
-            at, count = at + sums[k]["size"], count + sums[k]["n"]
-    listed = lambda xs: F.expr("array(" + ", ".join(f"{x}L" for x in xs) + ")")
-    w = Window.partitionBy("range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.get(listed(first_byte), F.col("range")) + F.sum("size").over(w) - F.col("size") / 2
-    placed = materialize(
-        dealt.select(
-            "doc_id", "size", "text_crc32",
-            F.least(F.floor(middle * n_shards / F.lit(float(max(total, 1)))), F.lit(n_shards - 1)).cast("int").alias("shard"),
-            (F.get(listed(first_row), F.col("range")) + F.count("*").over(w) - 1).alias("row"),
-        ),
-        "shard-placed",
+        grown = set(bounds)
+        several = [k for k in over if found[k]["low"] != found[k]["high"]]
+        if several:
+            grown.update(found[k]["high"] for k in several)  # so that each of them is split, whatever is drawn
+            size = sum(sizes[k] for k in several)
+            sample = _sample(dealt.where(F.col("range").isin(several)), len(several) * PARTS * SAMPLES_PER_RANGE, size, seed + len(bounds))
+            grown |= _quantiles(sample, len(several) * PARTS)
+        same = [k for k in over if found[k]["low"] == found[k]["high"]]
+        if same:
+            at = [i / PARTS for i in range(1, PARTS)]
+            place = F.conv("place", 16, 10).cast("long")
+            for r in dealt.where(F.col("range").isin(same)).groupBy("range").agg(F.percentile_approx(place, at, 10_000).alias("q"), F.max(place).alias("top")).collect():
+                grown.update(f"{found[r['range']]['low']}{q:016X}" for q in {*r["q"], r["top"]})
+        bounds = sorted(grown)
+    listed = lambda xs: F.expr("array(" + ", ".join(map(str, xs)) + ")")
+    first_row, held = [], [0] * n_shards
+    for k, shard in enumerate(shards):
+        first_row.append(f"{held[shard]}L")
+        held[shard] += found[k]["n"] if k in found else 0
+    w = Window.partitionBy("range").orderBy("key", "place")
+    return dealt.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.get(listed(shards), F.col("range")).alias("shard"),
+        (F.get(listed(first_row), F.col("range")) + F.row_number().over(w) - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
-    starts = {r["shard"]: r["row"] for r in placed.groupBy("shard").agg(F.min("row").alias("row")).collect()}
-    slot = F.col("row") - F.get(listed([starts.get(k, 0) for k in range(n_shards)]), F.col("shard"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
