@@ -116,6 +116,25 @@ def test_exact_dedup(docs, texts):
     assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_by_buckets(spark, tmp_path, monkeypatch):
+    """A third of all rows are copies, many hashes collide: the index is laid out by bucket, and each bucket is one owner's."""
+    rows = [(k, "hot" if k % 3 == 0 else f"t{k % 300}") for k in range(3000)] + [(None, "hot"), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = []
+    real = exact_dedup.materialize
+    monkeypatch.setattr(exact_dedup, "materialize", lambda d, tag: kept.append((tag, real(d, tag))) or kept[-1][1])
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t or "", []).append(i)
+    for hash_of in (F.xxhash64, lambda t: F.shiftleft(F.pmod(F.xxhash64(t), F.lit(40)), 57)):
+        kept.clear()
+        out = exact_dedup.exact_duplicates(df, capacity=8, hash_of=hash_of).collect()
+        assert Counter((r["doc_id"], r["keep_id"], r["group_size"]) for r in out) == Counter((i, min(x for x in g if x is not None), len(g)) for g in groups.values() for i in g)
+        index = dict(kept)["exact-index"]
+        assert index.select("bucket", F.input_file_name()).distinct().groupBy("bucket").count().where("count > 1").isEmpty()
+        assert index.select("bucket").distinct().count() > 5 and index.count() == len(groups)
+
+
 def test_directory():
     rng = random.Random(1)
     counts = {p: rng.choice([0, 1, 50]) for p in range(256)} | {7: 1000}
