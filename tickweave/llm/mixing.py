@@ -8,22 +8,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import WORD, materialize, text_of, unit_hash
+from tickweave.llm.common import materialize, unit_hash
+from tickweave.llm.topics import fit_topics, topic_column, with_profiles
 
 #: Above this many cells (combinations that occur of the dimensions' values) the fitting runs on the cluster.
 DRIVER_CELLS = 100_000
 #: A target share is, unless given, the present share to this power, made to sum to one. Rounds and tolerance of the fitting.
 TEMPER, ROUNDS, TOLERANCE, SEED = 0.9, 200, 1e-9, 4
-#: Marks of a text's form, looked for in this order.
-FORMS = [("table", " | "), ("shout", "!! "), ("marked", "%%%"), ("marked", "&&&"), ("licence", "Licensed under")]
-
-
-def topic_of(text: Column) -> Column:
-    """A topic by marks of the text's form; texts without such a mark are prose."""
-    topic = None
-    for name, mark in FORMS:
-        topic = F.when(text.contains(mark), name) if topic is None else topic.when(text.contains(mark), name)
-    return topic.otherwise("prose")
 
 
 @dataclass
@@ -108,6 +99,30 @@ def fit_mixture(rows: DataFrame, dims: list[str], targets: dict[str, dict[str, f
     return Fit(fitted, error, n)
 
 
+#: What a row brings to its cell: the default dimensions besides topic, which comes from the text.
+DIMENSIONS = {"source": "source", "language": "lang"}
+
+
+def _cells_of_rows(docs: DataFrame, dims: dict[str, Column] | None, targets: dict | None, temper: float, seed: int, id_col: str, text_col: str, driver_cells: int, keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """The columns ``keep`` of each row, with its dimensions' values, tokens, weight, probability, fit_error and whether it is drawn."""
+    topical = dims is None
+    dims = {n: F.col(c) for n, c in DIMENSIONS.items()} if topical else dims
+    names = [f"_tw_{n}" for n in dims]
+    drawn = unit_hash(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed))
+    made = docs.withColumns({f"_tw_{n}": F.coalesce(c.cast("string"), F.lit("(none)")) for n, c in dims.items()} | {"_tw_u": drawn})
+    made = with_profiles(made, text_col, [*keep, *names, "_tw_u"]).withColumnRenamed("tokens", "_tw_tokens")
+    rows = materialize(made.withColumnRenamed("profile", "_tw_profile") if topical else made.drop("profile"), "mix-rows")
+    centers = fit_topics(rows, "_tw_profile") if topical else None
+    label = lambda df: topic_column(df, centers, "_tw_profile", "_tw_topic") if topical else df
+    narrow = label(rows.select(*names, F.col("_tw_tokens").alias("tokens"), *(["_tw_profile"] if topical else [])))
+    names = [*names, "_tw_topic"] if topical else names
+    fit = fit_mixture(narrow, names, {f"_tw_{k}": v for k, v in (targets or {}).items()}, temper, driver_cells)
+    top = fit.cells.where("tokens > 0").agg(F.max("factor")).first()[0] or 1.0
+    by_cell = fit.cells.select(*names, F.col("factor").alias("_tw_weight"), F.least(F.col("factor") / top, F.lit(1.0)).alias("_tw_probability"))
+    joined = label(rows).join(F.broadcast(by_cell) if fit.n_cells <= driver_cells else by_cell, names)
+    return joined.withColumns({"_tw_kept": F.col("_tw_u") < F.col("_tw_probability"), "_tw_fit_error": F.lit(float(fit.error))}), names
+
+
 def mix_documents(
     docs: DataFrame,
     dims: dict[str, Column] | None = None,
@@ -120,9 +135,10 @@ def mix_documents(
 ) -> DataFrame:
     """Rake token counts to marginal targets, and sample documents by the calibrated probabilities.
 
-    A row's tokens are its words. ``dims`` (default: source, language, topic) name the dimensions; ``targets`` gives
-    shares of tokens by value (a value that isn't named: none), else present shares are tempered. Iterative
-    proportional fitting multiplies the cells' token counts until all marginals meet their targets. A cell's
+    A row's tokens are its words. ``dims`` (default: source, language, and topic, a cluster of the texts' terms, see ``topics``) name the
+    dimensions; ``targets`` gives shares of tokens by value (a value that isn't named: none), else present shares are tempered. Iterative
+    proportional fitting multiplies the cells' token counts until all marginals meet their targets, for ROUNDS rounds at most;
+    fit_error is the largest difference that is left of a marginal's share. A cell's
     sampling probability is its factor over the largest factor of a cell with tokens, so no probability is over one and
     the expected tokens have the target shares. A row stays if a hash of (seed, id) is under its probability.
 
@@ -132,23 +148,27 @@ def mix_documents(
     Nulls: a null value of a dimension is the value "(none)"; a null text has no tokens; null ids share one draw.
     A row without tokens has its cell's probability. Repeated rows share their fate. An empty table gives no rows.
 
-    Returns doc_id, source, language, topic, tokens, weight, probability, kept.
+    Returns doc_id, source, language, topic (or the names of ``dims``), tokens, weight, probability, fit_error, kept.
     """
-    text = text_of(text_col)
-    dims = dims or {"source": F.col("source"), "language": F.col("lang"), "topic": topic_of(text)}
-    names = list(dims)
-    rows = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), *[F.coalesce(c.cast("string"), F.lit("(none)")).alias(n) for n, c in dims.items()], F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens")), "mix-rows"
-    )
-    fit = fit_mixture(rows, names, targets, temper, driver_cells)
-    top = fit.cells.where("tokens > 0").agg(F.max("factor")).first()[0] or 1.0
-    by_cell = fit.cells.select(*names, F.col("factor").alias("weight"), F.least(F.col("factor") / top, F.lit(1.0)).alias("probability"))
-    joined = rows.join(F.broadcast(by_cell) if fit.n_cells <= driver_cells else by_cell, names)
-    kept = unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)) < F.col("probability")
-    return joined.select("doc_id", *names, "tokens", "weight", "probability", kept.alias("kept"))
+    rows, names = _cells_of_rows(docs, dims, targets, temper, seed, id_col, text_col, driver_cells, [id_col])
+    cols = [*names, "_tw_tokens", "_tw_weight", "_tw_probability", "_tw_fit_error", "_tw_kept"]
+    return rows.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(c.removeprefix("_tw_")) for c in cols])
 
 
-def sample_mixture(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with only the rows that ``mix_documents`` keeps; columns stay as they are."""
-    kept = mix_documents(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("_tw_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_tw_id")), "left_semi")
+def sample_mixture(
+    docs: DataFrame,
+    dims: dict[str, Column] | None = None,
+    targets: dict[str, dict[str, float]] | None = None,
+    temper: float = TEMPER,
+    seed: int = SEED,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    driver_cells: int = DRIVER_CELLS,
+) -> DataFrame:
+    """``docs`` with only the rows that ``mix_documents`` keeps; columns stay as they are.
+
+    Each row is drawn by its own cell's probability, so rows that share an id or have none can differ. Rows with their texts are
+    written once and never shuffled. Columns whose names begin with _tw_ must not exist.
+    """
+    rows, _ = _cells_of_rows(docs, dims, targets, temper, seed, id_col, text_col, driver_cells, docs.columns)
+    return rows.where("_tw_kept").select(docs.columns)
