@@ -592,11 +592,99 @@ def test_toxicity(spark):
     big = " ".join(f"w{k}" for k in range(toxicity.CHUNK + 50))
     whole = toxicity.read_texts(pa.array([big, big + " scum", ""]))
     assert model.scores(whole).shape == (3,) and model.logits(whole)[1] > model.logits(whole)[0]
+    assert toxicity.score_toxicity(docs.withColumn("score", F.lit("x")), model).columns == ["doc_id", "text", "score"]
+    assert fingerprint.fingerprint_column(docs.withColumn("fingerprint", F.lit(1))).columns == ["doc_id", "text", "fingerprint"]
+    labelled = spark.createDataFrame(labels, "doc_id long, toxic int")
+    some, label = toxicity.training_rows(docs.unionByName(docs), labelled, F.lit(True), max_toxic=7, max_clean=9)
+    assert len(some) == 16 and label.sum() == 7
+    few, _ = toxicity.training_rows(docs, labelled, F.lit(True), max_toxic=7, max_clean=9, max_bytes=1200)
+    assert 0 < sum(len(x.as_py().encode()) for x in few) <= 1200 and set(few.to_pylist()) < set(some.to_pylist())
     none = toxicity.fit(toxicity.read_texts(pa.array([], pa.string())), np.zeros(0))
     assert none.scores(toxicity.read_texts(pa.array(["x"])))[0] < 0.5
     assert toxicity.score_toxicity(docs.limit(0), none).count() == 0
 
 
+def test_convolution_and_pooling_by_brute_force():
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{rng.integers(50)}" for _ in range(n)) for n in (1, 2, 3, 17, 0)]
+    t = toxicity.read_texts(pa.array(texts))
+    model = toxicity.fit(toxicity.read_texts(pa.array([f"w{k} w{k + 1}" for k in range(60)])), np.arange(60) % 2.0, epochs=1)
+    model.bias = rng.normal(0, 0.1, len(model.bias)).astype(np.float32)
+    got = model.pool(t)
+    for i in range(len(texts)):
+        x = [model.words[t.words[j]] + model.heads[t.heads[j]] for j in range(t.at[i], t.at[i + 1])]
+        for w_i, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = 0.0
+                for start in range(len(x)):
+                    y = model.bias[w_i * toxicity.FILTERS + f]
+                    for j in range(w):
+                        if start + j < len(x):
+                            y += float(x[start + j] @ model.filters[w_i][j * toxicity.SIZE : (j + 1) * toxicity.SIZE, f])
+                    best = max(best, y)
+                assert got[i, w_i * toxicity.FILTERS + f] == pytest.approx(best, abs=1e-4)
+
+
+def test_training_lowers_the_loss():
+    """Phrases of two words that are clean alone: what the embeddings begin with can't tell them, training does."""
+    rng = random.Random(12)
+    texts, label = [], []
+    for k in range(1200):
+        w = [f"w{rng.randrange(30)}" for _ in range(12)]
+        at = rng.randrange(11)
+        w[at : at + 2] = [["red", "cat"], ["cat", "red"]][k % 2]
+        texts.append(" ".join(w))
+        label.append(float(k % 2))
+    read, y = toxicity.read_texts(pa.array(texts)), np.array(label)
+    loss = []
+    for epochs in (0, toxicity.EPOCHS):
+        z = toxicity.fit(read, y, epochs=epochs).logits(read)
+        loss.append(np.mean(np.log1p(np.exp(-np.where(y > 0, z, -z)))))
+    assert loss[1] < 0.7 * loss[0]
+
+
+def test_lm_score_by_brute_force(docs, texts):
+    """Counts, buckets, deleted part and expectation-maximisation token by token, without hashes, blocks or rounding."""
+    out = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 6)): r["score"] for r in lm.score_documents(docs, block_bytes=1 << 14).collect()}
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7
+    seqs = [(fold(i), i, t.encode().lower().split() + [None]) for i, t in texts]
+
+    def counted(rows):
+        return Counter(x for w in rows for x in w), Counter(p for w in rows for p in zip([None, *w[:-1]], w))
+
+    whole, rest = counted([w for f, _, w in seqs if f != 2]), counted([w for f, _, w in seqs if f not in (2, 3)])
+
+    def ps(model, before, x):
+        ones, pairs = model
+        c = ones[before]
+        return c.bit_length(), np.array([pairs[before, x] / c if c else 0.0, ones[x] / sum(ones.values()), 1 / (len(ones) + 1)])
+
+    found = [ps(rest, b, x) for f, _, w in seqs if f == 3 for b, x in zip([None, *w[:-1]], w)]
+
+    def mixture(rows, base, strength):
+        p, w = np.array(rows), base.copy()
+        for _ in range(lm.ROUNDS):
+            part = p * w
+            new = (part / part.sum(1, keepdims=True)).sum(0) + strength * base
+            w = new / new.sum()
+        return w
+
+    pooled = np.maximum(mixture([p for _, p in found], np.full(3, 1 / 3), 1.0), 1e-6)
+    pooled /= pooled.sum()
+    weights = {b: mixture([p for k, p in found if k == b], pooled, lm.PRIOR) for b in {b for b, _ in found}}
+    total = {}
+    for _, i, w in seqs:
+        score = base = 0.0
+        for b, x in zip([None, *w[:-1]], w):
+            k, p = ps(whole, b, x)
+            near = min(sorted(weights), key=lambda j: (abs(j - k), j))
+            score += math.log10(float(weights[near] @ p))
+            base += math.log10((whole[0][x] + 1) / (sum(whole[0].values()) + len(whole[0]) + 1))
+        total[i, len(w), round(base, 6)] = score
+    assert set(total) == set(out)
+    assert all(out[k] == pytest.approx(v, rel=5e-3, abs=5e-3) for k, v in total.items())
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     left = docs

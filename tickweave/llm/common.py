@@ -60,7 +60,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tickweave/{tag}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tickweave_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and that nothing reads any more."""
+    spark, path = df.sparkSession, getattr(df, "_tickweave_path", None)
+    if path is not None:
+        _delete(spark, path)
+        _written[:] = [w for w in _written if w[1] != path]
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import materialize
+from tickweave.llm.common import discard, materialize
 
 
 def components(links: DataFrame, least: bool = True) -> DataFrame:
@@ -31,7 +31,9 @@ def components(links: DataFrame, least: bool = True) -> DataFrame:
         labels = up.withColumnRenamed("up", "comp") if labels is None else labels.join(up.select(F.col("node").alias("comp"), "up"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
         ups = [up.select(F.col("node").alias(side), F.col("up").alias(f"up_{side}")) for side in "ab"]
         moved = edges.join(ups[0], "a").join(ups[1], "b").where("up_a <> up_b")
-        edges = materialize(moved.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct(), "cc-edges")
+        left = materialize(moved.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct(), "cc-edges")
+        discard(edges)
+        edges = left
     if not least:
         return labels
     first = labels.groupBy("comp").agg(F.min("node").alias("least"))

@@ -70,7 +70,11 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 
 def fingerprint_column(docs: DataFrame, text_col: str = "text", out: str = "fingerprint", k: int = K, width: int = WIDTH) -> DataFrame:
-    """``docs`` with a fingerprint of each whole text. A null text counts as empty; an empty text has an empty fingerprint."""
+    """``docs`` with a fingerprint of each whole text. A null text counts as empty; an empty text has an empty fingerprint.
+
+    A column that has the name ``out`` is replaced; other columns and repeated rows stay as they are; an empty table gives no rows.
+    """
+    docs = docs.drop(out)
     i = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +98,7 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     of ids whose upper ends are ids of the table, so the row after a range's last one is known beforehand: it is
     copied to that range. One shuffle moves each text once; a task holds one Arrow batch.
 
-    Nulls: a null text counts as empty; null ids come last. Rows with one id are ordered by a hash of their text.
+    Ids are numbers; other ids are an error. Nulls: a null text counts as empty; null ids come last. Rows with one id are ordered by a hash of their text.
     An empty text is like another empty text (1.0) and unlike any other (0.0). An empty table gives no rows.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import materialize, unit_hash
+from tickweave.llm.common import discard, materialize, unit_hash
 from tickweave.llm.topics import fit_topics, topic_column, with_profiles
 
 #: Above this many cells (combinations that occur of the dimensions' values) the fitting runs on the cluster.
@@ -79,14 +79,17 @@ def _fit_there(cells: DataFrame, dims: list[str], targets: dict, temper: float)
         goals.append(materialize(margin.select(d, (F.col("raw") / whole).alias("goal")), "rake-goal"))
     fitted, error = cells.withColumn("factor", F.lit(1.0)), 0.0
     for _ in range(ROUNDS):
-        errors = []
+        errors, used = [], [fitted]
         for d, goal in zip(dims, goals, strict=True):
             margin = fitted.groupBy(d).agg(F.sum(F.col("tokens") * F.col("factor")).alias("now")).join(goal, d)
             margin = margin.select(d, "goal", "now", F.when(F.col("now") > 0, F.col("goal") * total / F.col("now")).otherwise(1.0).alias("by"))
             margin = materialize(margin, "rake-margin")
+            used.append(margin)
             errors.append(float(margin.agg(F.max(F.abs(F.col("now") / (total or 1.0) - F.col("goal")))).first()[0] or 0))
             fitted = fitted.join(margin.select(d, "by"), d).withColumn("factor", F.col("factor") * F.col("by")).drop("by")
         fitted, error = materialize(fitted, "rake-cells"), max(errors)
+        for table in used:
+            discard(table)
         if error < TOLERANCE:
             break
     return fitted, error

@@ -18,6 +18,8 @@ from tickweave.llm.textnum import word_hashes
 WORD_ROWS, HEAD_ROWS, HEAD, SIZE, WIDTHS, FILTERS = 1 << 17, 1 << 14, 4, 16, (1, 2, 3), 8
 #: Labelled rows to fit on, at most: with label 1 and with label 0, the first by a hash of their id.
 MAX_TOXIC, MAX_CLEAN = 3000, 5000
+#: Bytes of their texts at most: rows in that order as long as they fit.
+MAX_BYTES = 256 << 20
 EPOCHS, BATCH, RATE, CALIBRATE = 6, 32, 0.05, 4
 #: Words looked at in one go, and training texts hashed in one go.
 CHUNK, LOT = 1 << 17, 256
@@ -264,14 +266,27 @@ def threshold(logits: np.ndarray, label: np.ndarray) -> float:
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> tuple[pa.Table, np.ndarray]:
-    """Texts and labels of at most ``max_toxic`` and ``max_clean`` labelled rows for which ``use`` holds, in the order of a hash of their ids."""
+def training_rows(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> tuple[pa.Table, np.ndarray]:
+    """Whole texts and labels of at most ``max_toxic`` and ``max_clean`` labelled rows for which ``use`` holds, the first by a hash of their ids.
+
+    With more than ``max_bytes`` of texts, the first of both kinds together that fit. Rows without id or label don't count; an id with
+    several labels is toxic if one says so; of several texts of an id the least one is taken. Repeats go before anything is collected.
+    """
     known = labels.where(use & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
     order = [F.xxhash64("id", F.lit(5)), "id"]
     drawn = known.where("label = 1").orderBy(*order).limit(max_toxic).unionByName(known.where("label = 0").orderBy(*order).limit(max_clean))
-    found = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(drawn), "id").toArrow()
-    table = found.group_by("id").aggregate([("text", "min"), ("label", "max")]).sort_by("id")
-    return table.column("text_min"), table.column("label_max").to_numpy().astype(np.float64)
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    sizes = texts.select("id", F.octet_length("text").alias("size")).join(F.broadcast(drawn), "id").groupBy("id").agg(F.max("size").alias("size"))
+    fits, used = [], 0
+    for r in sorted(sizes.select("id", "size", F.xxhash64("id", F.lit(5)).alias("h")).collect(), key=lambda r: (r["h"], r["id"])):
+        used += r["size"]
+        if used > max_bytes:
+            break
+        fits.append((r["id"],))
+    if used > max_bytes:
+        drawn = drawn.join(docs.sparkSession.createDataFrame(fits, sizes.select("id").schema), "id")
+    found = texts.join(F.broadcast(drawn), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")).toArrow().sort_by("id")
+    return found.column("text"), found.column("label").to_numpy().astype(np.float64)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, use: Column | None = None, **names) -> ToxicModel:
@@ -291,8 +306,10 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text", o
     """``docs`` with the toxicity score of each whole text, 0 to 1; 0.5 is its language's threshold.
 
     The language comes from the text's function words, never from a column. A null text counts as empty and
-    gets the score of a text without words. Row order, repeated rows and other columns don't matter.
+    gets the score of a text without words. Row order, repeated rows and other columns don't matter; a column that has the
+    name ``out`` is replaced. An empty table gives no rows.
     """
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     i, text = docs.columns.index(text_col), out
 
@@ -305,5 +322,8 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text", o
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text scores 0.5 or more; columns stay as they are."""
+    """``docs`` without the rows whose text scores 0.5 or more; columns stay as they are.
+
+    A null text counts as empty; repeated rows share their fate; an empty table gives no rows. A column named _tw_toxicity must not exist.
+    """
     return score_toxicity(docs, model, text_col, "_tw_toxicity").where(F.col("_tw_toxicity") < 0.5).drop("_tw_toxicity")
