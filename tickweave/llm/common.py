@@ -19,6 +19,8 @@ WHITE_SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Keys with at least 1/HOT of all rows are joined by broadcast: there can be no more than HOT of them.
 HOT = 1024
+#: Parts that a hot key's rows are dealt to where they can't be joined by broadcast.
+SALTS = 256
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -114,6 +116,18 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], heavy: Column,
     return both.select(*rows.columns, *[F.col("_found")[c].alias(c) for c in payload])
 
 
+def join_salted(rows: DataFrame, table: DataFrame, key: str, hot: list, spread: str, salts: int = SALTS) -> DataFrame:
+    """``rows`` with the other columns of their entry in ``table``, where they have one; in ``table`` each ``key`` occurs once.
+
+    The keys in ``hot``, which the caller bounds, get ``salts`` copies of their entry, and their rows are dealt to these by a hash of
+    ``spread``. As an inner join it makes a row for each row that has an entry, and none for others.
+    """
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    mine = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return mine.join(copies, [key, "_salt"]).drop("_salt")
+
+
 def range_index(key: Column, bounds: list, literal) -> Column:
     """How many of the ascending ``bounds`` are at most ``key``: a two-level search over constant arrays.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import HOT, join_hot, materialize, text_of
+from tickweave.llm.common import HOT, join_hot, join_salted, materialize, text_of
 from tickweave.llm.components import components
 from tickweave.llm.textnum import buffers, mix, shingle_hashes, word_hashes
 
@@ -185,8 +185,9 @@ def _classes(base: DataFrame, similar: float, width: int, bands: int, rows: int,
     n_nodes, n_rows = nodes.count(), signed.count()
     member = nodes.where("bands is not null").select("node", F.explode("bands").alias("key"))
     buckets = member.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    heavy = F.col("n") >= max(2, -(-n_nodes * bands // HOT))
-    members = materialize(join_hot(member, buckets, ["key"], heavy, ["node"], "inner").select("key", "node", "least"), "near-members")
+    buckets = materialize(buckets, "near-buckets")
+    hot = [r["key"] for r in buckets.where(F.col("n") >= max(2, -(-n_nodes * bands // HOT))).select("key").collect()]  # HOT at most
+    members = materialize(join_salted(member, buckets, "key", hot, "node").select("key", "node", "least"), "near-members")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
