@@ -17,6 +17,7 @@ from tickweave.operators import features as X
 from tickweave.operators import indicators as I
 from tickweave.operators import labels as L
 from tickweave.operators import stats as S
+from tickweave.plans.recursions import recursive_sql
 from tickweave.sources import catalog as C
 from tickweave.sources.synthetic import Distribution, synthetic_bars
 
@@ -123,6 +124,9 @@ def queries() -> dict[str, Query]:
         "bootstrap_prices": _on(_flag, lambda b: X.bootstrap_prices(b, seed=1)),
         "inverse_cumsum_filter": _on(_flag, lambda b: L.inverse_cumsum_filter(b, "quiet", 0.01, 2).select("symbol", "ts", "quiet")),
         "event_sampling": _on(_flag, lambda b: L.event_sampling(b, "volatility_expansion", 50, 10, 1.2).select("symbol", "ts", "event_flag")),
+        "flag_share": _on(_flag, lambda b: L.flag_share(L.event_sampling(b, "volatility_expansion", 50, 10, 1.2))),
+        "add_sample_weights": _on(_supplier, lambda b: L.add_sample_weights(L.add_labels(b, scale=False, pt_sl=10.0, n_days=5)).select("symbol", "ts", "sample_weight")),
+        "co_distribution": _on(_flag, lambda b: E.co_distribution(b, "close", "volume")[0]),
         "vertical_barrier": _on(_supplier, lambda b: L.vertical_barrier(b, "vb", 5).select("symbol", "ts", "vb")),
         "triple_barrier": _on(_supplier, _labelled),
         "triple_barrier_scaled": _on(_flag, lambda b: L.triple_barrier(b)),
@@ -292,7 +296,7 @@ def oracle_sql() -> dict[str, str]:
     sums_adx = _fold("0e0 AS p, 0e0 AS m, 0e0 AS t", f"{keep} * e.p + b.up AS p, {keep} * e.m + b.dn AS m, {keep} * e.t + b.reach AS t", "e.p, e.m, e.t", "dir")
     dx = ", dx AS MATERIALIZED (SELECT symbol, ts, rn, CASE WHEN t = 0 OR p + m = 0 THEN 0e0 ELSE abs(p - m) / (p + m) END AS dx FROM out), first14 AS (SELECT symbol, sum(dx) / 14 AS s FROM dx WHERE rn BETWEEN 15 AND 28 GROUP BY symbol)"
     tail = f", a AS (SELECT symbol, CAST(28 AS BIGINT) AS rn, s AS v FROM first14 UNION ALL SELECT b.symbol, b.rn, {13 / 14!r}e0 * a.v + b.dx FROM a JOIN dx b ON b.symbol = a.symbol AND b.rn = a.rn + 1)"
-    return {
+    made = {
         "bars_daily": _with(SUPPLIER, " SELECT * FROM bars"),
         "bars_hourly": _with(HOURLY, " SELECT * FROM bars"),
         "price_scan": _with(PRICES, " SELECT ticker, date, close, volume FROM prices WHERE ticker IN ('1', '2', '3') AND date BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31'"),
@@ -326,6 +330,7 @@ def oracle_sql() -> dict[str, str]:
         "concurrency": _with(SUPPLIER, _LABELS, _OPEN, " SELECT symbol, ts, n_open FROM counted"),
         "average_uniqueness": _with(SUPPLIER, _LABELS, _OPEN, f" SELECT d.symbol, d.ts, {_r('avg(1e0 / n_open)')} AS uniqueness FROM done d JOIN counted c ON c.symbol = d.symbol AND c.ts BETWEEN d.ts AND d.hit_date GROUP BY d.symbol, d.ts"),
         "sample_weights": _with(SUPPLIER, _LABELS, _OPEN, sums, f" SELECT d.symbol, d.ts, {_r('abs(sum(coalesce(ch, 0) / n_open))')} AS sample_weight FROM done d JOIN line c ON c.symbol = d.symbol AND c.ts BETWEEN d.ts AND d.hit_date GROUP BY d.symbol, d.ts"),
+        "add_sample_weights": _with(SUPPLIER, _LABELS, _OPEN, sums, f", sw AS (SELECT d.symbol, d.ts, abs(sum(coalesce(ch, 0) / n_open)) AS w FROM done d JOIN line c ON c.symbol = d.symbol AND c.ts BETWEEN d.ts AND d.hit_date GROUP BY d.symbol, d.ts) SELECT b.symbol, b.ts, {_r('w')} AS sample_weight FROM bars b LEFT JOIN sw ON sw.symbol = b.symbol AND sw.ts = b.ts"),
         "threshold_study": _with(FLAG, ", ", PAIRS, study, rank_rows, per, study_out),
         "optimal_threshold": _with(FLAG, ", ", PAIRS, ", ", rho, best, f" SELECT symbol, {_r('spearman')} AS spearman, {_r('lt')} AS long_threshold, {_r('lp')} AS long_pf, {_r('coalesce(st, top)')} AS short_threshold, {_r('coalesce(sp, -1)')} AS short_pf, {_r('greatest(lp, coalesce(sp, -1))')} AS best_pf FROM b"),
         "performance": _with(SUPPLIER, f", p AS (SELECT symbol, ts, close, close / lag(close) OVER {_W} - 1 AS r, close / max(close) OVER {unbounded} - 1 AS d FROM bars) SELECT symbol, {_r('max_by(close, ts) / min_by(close, ts) - 1')} AS total_return, {_r('stddev_samp(r) * sqrt(252e0)')} AS volatility, {_r('avg(r) * sqrt(252e0) / nullif(stddev_samp(r), 0)')} AS sharpe, {_r('min(d)')} AS max_drawdown FROM p GROUP BY symbol"),
@@ -343,3 +348,5 @@ def oracle_sql() -> dict[str, str]:
         "chaikin_money_flow_sma": _with(FLAG, RANGED, f", f AS (SELECT *, {flow} AS fl FROM tr), g AS (SELECT *, {_mean('fl', 21)} AS a, {_mean('volume', 21)} AS v FROM f) {value('coalesce(a / nullif(v, 0), 0)')} FROM g"),
         "chaikin_money_flow": _with(FLAG, RANGED, cmf_ema, f", f AS (SELECT *, {flow} AS fl FROM out), g AS (SELECT *, {_mean('fl', 21)} AS a FROM f) {value('coalesce(a / nullif(vol, 0), 0)')} FROM g", recursive=True),
     }
+    made["co_distribution"] = made["spearman_by_quartile"]
+    return made | recursive_sql(FLAG, HOURLY, SUPPLIER, RANGED, _LABELS, moments, _r, _squash, _mean)
