@@ -705,3 +705,12 @@ def test_registered(spark):
     want = sorted(map(tuple, con.execute(oracle_sql()["op5_exact_dedup"]).fetchall()))
     got = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in op5_exact_dedup(spark, DATA).collect())
     assert got == want
+
+
+def test_lots_of_texts():
+    from tickweave.llm.common import in_lots
+
+    texts = ["ab", None, "", "x" * 50, "é" * 4, "abc", "d"]
+    batches = [pa.RecordBatch.from_pydict({"n": list(range(7)), "text": texts}), pa.RecordBatch.from_pydict({"n": pa.array([], pa.int64()), "text": pa.array([], pa.string())})]
+    lots = [b.column("text").to_pylist() for b in in_lots(iter(batches), 1, 10)]
+    assert lots == [["ab", None, ""], ["x" * 50], ["é" * 4], ["abc", "d"]]

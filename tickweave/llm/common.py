@@ -9,8 +9,11 @@ import math
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT = 1024
 #: Parts that a hot key's rows are dealt to where they can't be joined by broadcast.
 SALTS = 256
+#: Bytes of texts that a Python function looks at in one go.
+TEXT_BYTES = 4 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -92,6 +97,20 @@ def return_memory() -> None:
         trim(0)
 
 
+def in_lots(batches: Iterator[pa.RecordBatch], column: int, limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """All rows of ``batches``, in order, in batches of at most ``limit`` bytes of texts in ``column``, or of one row.
+
+    After the last one the worker's freed memory goes back to the system, so idle workers don't keep what a task has needed.
+    """
+    for b in batches:
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy()), 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+    return_memory()
+
+
 def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import HOT, join_hot, join_salted, materialize, text_of
+from tickweave.llm.common import HOT, in_lots, join_hot, join_salted, materialize, text_of
 from tickweave.llm.components import components
 from tickweave.llm.textnum import buffers, mix, shingle_hashes, word_hashes
 
@@ -161,7 +161,7 @@ def _nodes(base: DataFrame, width: int, bands: int, rows: int, weight: str) -> t
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_lots(batches, 2):
             digest = content_digests(b.column(2))
             keys = pa.array(_sign(b.column(2), width, bands, rows, weight), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), keys], names=["doc_id", "h", "node", "check", "bands"])
@@ -190,7 +190,7 @@ def _classes(base: DataFrame, similar: float, width: int, bands: int, rows: int,
     members = materialize(join_salted(member, buckets, "key", hot, "node").select("key", "node", "least"), "near-members")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_lots(batches, 0):
             mine = np.flatnonzero(content_digests(b.column(0))[:, 1] == b.column(2).to_numpy())
             b = b.take(pa.array(mine))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(_sets(b.column(0), width, weight), pa.binary())], names=["node", "set"])

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickweave.llm.common import in_lots, return_memory
 from tickweave.llm.textnum import WINDOW, buffers, mix, span_hashes
 
 #: Where the tokenizer file is, in the driver's file system; executors get its pieces by broadcast.
@@ -379,18 +380,13 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces.value, dropout, seed)
-        for b in batches:
-            keys, at = b.column(k).to_numpy(), 0
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(i)), 0).to_numpy())
-            while at < b.num_rows:
-                before = sizes[at - 1] if at else 0
-                end = max(at + 1, int(np.searchsorted(sizes, before + TEXTS, side="right")))
-                part = b.slice(at, end - at)
-                flat, offsets = encoder.encode_column(part.column(i), keys[at:end])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-                made = [lists, encoder.decode_column(flat, offsets)] if decoded else [lists]
-                yield pa.RecordBatch.from_arrays([*part.columns[:k], *made], names=[*b.schema.names[:k], *[f.name for f in new]])
-                at = end
+        for b in in_lots(batches, i, TEXTS):
+            flat, offsets = encoder.encode_column(b.column(i), b.column(k).to_numpy())
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            made = [lists, encoder.decode_column(flat, offsets)] if decoded else [lists]
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], *made], names=[*b.schema.names[:k], *[f.name for f in new]])
+        encoder = None
+        return_memory()
 
     return keyed.mapInArrow(each, T.StructType([*docs.schema.fields, *new]))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickweave.llm.common import materialize, text_of
+from tickweave.llm.common import in_lots, materialize, text_of
 from tickweave.llm.stopwords import STOP_WORDS
 from tickweave.llm.textnum import word_hashes
 
@@ -78,7 +78,7 @@ def with_profiles(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     base = docs.select(text_of(text_col).alias("_tw_text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_lots(batches, 0):
             found, words = profiles(b.column(0))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * SIZE, pa.int32()), pa.array(found.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], lists, pa.array(words, pa.int64())], names=[*b.schema.names[1:], "profile", "tokens"])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.common import return_memory, text_of
+from tickweave.llm.common import in_lots, return_memory, text_of
 from tickweave.llm.stopwords import LANGUAGES, STOP_WORDS
 from tickweave.llm.textnum import word_hashes
 
@@ -314,7 +314,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text", o
     i, text = docs.columns.index(text_col), out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_lots(batches, i):
             scores = pa.array(shared.value.scores(read_texts(b.column(i))), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, text])
 
