@@ -13,6 +13,11 @@ def _time() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy(micros("ts"))
 
 
+def _later(n_days: int) -> WindowSpec:
+    """Bars at least ``n_days`` later, from the last one back: a frame that only grows, so each bar enters it once."""
+    return Window.partitionBy("symbol").orderBy((-micros("ts")).asc_nulls_last()).rangeBetween(Window.unboundedPreceding, -n_days * DAY)
+
+
 def inverse_cumsum_filter(df: DataFrame, out: str = "quiet", h: float = 0.01, n: int = 2, col: str = "close") -> DataFrame:
     """Whether the return over the last ``n`` bars is under ``h`` either way; false where unknown."""
     return df.withColumn(out, F.coalesce(F.abs(F.try_divide(F.col(col), prev(col, n)) - 1) < h, F.lit(False)))
@@ -33,7 +38,7 @@ def flag_share(df: DataFrame, flag: str = "event_flag") -> DataFrame:
 
 def vertical_barrier(df: DataFrame, out: str = "vb", n_days: int = 1) -> DataFrame:
     """The first bar ``n_days`` calendar days later or after; null where there is none."""
-    return df.withColumn(out, F.min("ts").over(_time().rangeBetween(n_days * DAY, Window.unboundedFollowing)))
+    return df.withColumn(out, F.min("ts").over(_later(n_days)))
 
 
 def barrier_hit(vb: str = "vb", pt: str = "pt", sl: str = "sl") -> Column:
@@ -59,7 +64,7 @@ def triple_barrier(df: DataFrame, scale: bool = True, span: int = 10, pt_sl: flo
     base = vertical_barrier(base, "_vb", n_days).withColumn("vb", F.coalesce("_vb", F.max("ts").over(Window.partitionBy("symbol"))))
     # bars up to n_days later; the barrier itself may lie farther
     near = F.collect_list(F.struct("ts", "price")).over(_time().rangeBetween(0, n_days * DAY))
-    far = F.min(F.struct("ts", "price")).over(_time().rangeBetween(n_days * DAY, Window.unboundedFollowing))
+    far = F.min(F.struct("ts", "price")).over(_later(n_days))
     paths = base.withColumn("_far", far).withColumn("_path", F.when(F.col("_far").isNull(), near).otherwise(F.array_append(F.filter(near, lambda b: b["ts"] < F.col("_far.ts")), F.col("_far"))))
     ret = lambda b: F.try_divide(b["price"], F.col("price")) - 1
     low = F.get(F.filter("_path", lambda b: ret(b) < -pt_sl * F.col("target")), F.lit(0))["ts"]
