@@ -204,7 +204,7 @@ def optimal_threshold(df: DataFrame, indicator: str = "indicator", ret: str = "r
     rows = rows.withColumn("_least", F.greatest(F.floor(F.col("_all") * min_kept), F.lit(1))).na.drop(subset=["signal", "ret"])
     keys = Window.partitionBy("symbol").orderBy("signal", "ts")
     gain, loss = F.when(F.col("ret") > 0, F.col("ret")).otherwise(0.0), F.when(F.col("ret") > 0, 0.0).otherwise(-F.col("ret"))
-    after = keys.rowsBetween(0, Window.unboundedFollowing)
+    after = Window.partitionBy("symbol").orderBy(F.desc("signal"), F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)  # a frame to the end would be summed anew at each row
     before = keys.rowsBetween(Window.unboundedPreceding, -1)
     n = F.count("*").over(Window.partitionBy("symbol"))
     swept = rows.select(

@@ -28,10 +28,14 @@ def log_transform(c: Column, over: Window | None = None) -> Column:
 
 def tanh_transform(c: Column, centred: bool = True) -> Column:
     """Hyperbolic tangent of the value, less its median so far if ``centred``, over 1.5 times the 15 to 85 per cent range so far."""
-    so_far = W().rowsBetween(Window.unboundedPreceding, 0)
-    x = c - F.percentile(c, 0.5).over(so_far) if centred else c
-    wide = (F.percentile(c, 0.85).over(so_far) - F.percentile(c, 0.15).over(so_far)) * 1.5
-    return F.coalesce(F.when(wide == 0, F.signum(x)).otherwise(F.tanh(F.try_divide(x, wide))), F.lit(0.0))
+    places = F.percentile(c, [0.15, 0.5, 0.85]).over(W().rowsBetween(Window.unboundedPreceding, 0))
+
+    def squash(q: Column) -> Column:
+        x = c - q[1] if centred else c
+        wide = (q[2] - q[0]) * 1.5
+        return F.coalesce(F.when(wide == 0, F.signum(x)).otherwise(F.tanh(F.try_divide(x, wide))), F.lit(0.0))
+
+    return F.transform(F.array(places), squash)[0]  # one window for all three places
 
 
 def transform_column(df: DataFrame, col: str, out: str, kind: str, **options) -> DataFrame:

@@ -140,6 +140,7 @@ def queries() -> dict[str, Query]:
         "distribution_study": _on(_events, lambda b: E.distribution_study(b, "close")),
         "optimal_threshold": _on(_flag, lambda b: E.optimal_threshold(_pairs(b))),
         "threshold_p_value": _on(_flag, lambda b: E.threshold_p_value(_pairs(b), replicates=200)),
+        "cv_scores": lambda s, d: rounded(s.createDataFrame(list(enumerate(E.cv_scores(_one_series(s, d), ["f1", "f2"], "y", trees=10))), "fold int, score double")),
         "importance_mdi": lambda s, d: rounded(E.feature_importance_mdi(_one_series(s, d), ["f1", "f2"], "y", trees=20)),
         "importance_mda": lambda s, d: rounded(E.feature_importance_mda(_one_series(s, d), ["f1", "f2"], "y", trees=10)),
         "importance_sfi": lambda s, d: rounded(E.feature_importance_sfi(_one_series(s, d), ["f1", "f2"], "y", trees=10)),
