@@ -263,12 +263,19 @@ def oracle_sql() -> dict[str, str]:
     study = ", lim AS (SELECT symbol, min(indicator) AS lo, max(indicator) AS hi FROM pairs GROUP BY symbol), th AS (SELECT symbol, lo + (hi - lo) * (i / 5e0) AS threshold FROM lim, range(1, 5) t(i)), sided AS MATERIALIZED (SELECT p.*, t.threshold, CASE WHEN indicator > threshold THEN 'above' WHEN indicator < threshold THEN 'below' END AS side FROM pairs p JOIN th t USING (symbol))"
     rank_rows = f", ranked AS (SELECT *, {_RANKS.format(k='symbol, threshold, side', a='indicator')} AS ri, {_RANKS.format(k='symbol, threshold, side', a='ret')} AS rr FROM sided WHERE side IS NOT NULL)"
     per = ", one AS (SELECT symbol, threshold, side, count(*) AS n, CASE WHEN var_pop(ri) > 0 AND var_pop(rr) > 0 THEN covar_pop(ri, rr) / sqrt(var_pop(ri) * var_pop(rr)) END AS spearman, avg(ret) AS mean, stddev_samp(ret) AS std, quantile_cont(ret, 0.5e0) AS median, quantile_cont(ret, 0.25e0) AS q25, quantile_cont(ret, 0.75e0) AS q75, sum(CASE WHEN ret > 0 THEN ret END) AS g, -sum(CASE WHEN ret < 0 THEN ret END) AS l FROM ranked GROUP BY ALL), al AS (SELECT symbol, threshold, count(*) AS n FROM sided GROUP BY ALL)"
-    cols = []
-    for s in ("above", "below"):
-        cols.append(f"{_r(f'100e0 * coalesce({s}.n, 0) / al.n')} AS pct_{s}")
-        cols += [f"{_r(f'{s}.{c}')} AS {c}_{s}" for c in ("spearman", "mean", "std", "median", "q25", "q75")]
-        cols += [f"{_r(f'coalesce({s}.g / nullif({s}.l, 0), 0)')} AS pf_long_{s}", f"{_r(f'coalesce({s}.l / nullif({s}.g, 0), 0)')} AS pf_short_{s}"]
-    study_out = f" SELECT al.symbol, {_r('al.threshold')} AS threshold, {', '.join(cols)} FROM al LEFT JOIN one above ON above.symbol = al.symbol AND above.threshold = al.threshold AND above.side = 'above' LEFT JOIN one below ON below.symbol = al.symbol AND below.threshold = al.threshold AND below.side = 'below'"
+    def study_cols(r: Callable[[str], str]) -> str:
+        cols = []
+        for s in ("above", "below"):
+            cols.append(f"{r(f'100e0 * coalesce({s}.n, 0) / al.n')} AS pct_{s}")
+            cols += [f"{r(f'{s}.{c}')} AS {c}_{s}" for c in ("spearman", "mean", "std", "median", "q25", "q75")]
+            cols += [f"{r(f'coalesce({s}.g / nullif({s}.l, 0), 0)')} AS pf_long_{s}", f"{r(f'coalesce({s}.l / nullif({s}.g, 0), 0)')} AS pf_short_{s}"]
+        return ", ".join(cols)
+
+    beside = "FROM al LEFT JOIN one above ON above.symbol = al.symbol AND above.threshold = al.threshold AND above.side = 'above' LEFT JOIN one below ON below.symbol = al.symbol AND below.threshold = al.threshold AND below.side = 'below'"
+    study_out = f" SELECT al.symbol, {_r('al.threshold')} AS threshold, {study_cols(_r)} {beside}"
+    study_names = [f"{c}_{s}" for s in ("above", "below") for c in ("pct", "spearman", "mean", "std", "median", "q25", "q75", "pf_long", "pf_short")]
+    shared = ", th AS (SELECT symbol, unnest(t) AS threshold FROM (SELECT DISTINCT symbol FROM pairs), (SELECT quantile_cont(indicator, [1 / 6e0, 2 / 6e0, 3 / 6e0, 4 / 6e0, 5 / 6e0]) AS t FROM pairs))" + study[study.index(", sided AS") :]
+    pooled = f", per AS (SELECT al.threshold, {study_cols(str)} {beside}) SELECT {_r('threshold')} AS threshold, {', '.join(_r(f'avg({c})') + f' AS {c}' for c in study_names)} FROM per GROUP BY per.threshold"
     rho = "rho AS (SELECT symbol, covar_pop(ra, rb) / sqrt(var_pop(ra) * var_pop(rb)) AS spearman FROM (SELECT symbol, " + _RANKS.format(k="symbol", a="indicator") + " AS ra, " + _RANKS.format(k="symbol", a="ret") + " AS rb FROM pairs) GROUP BY symbol)"
     keyed = "(PARTITION BY symbol ORDER BY signal, ts"
     best = f", sig AS (SELECT p.symbol, ts, spearman, CASE WHEN spearman < 0 THEN -indicator ELSE indicator END AS signal, ret FROM pairs p JOIN rho USING (symbol)), sw AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER {keyed}) - 1 AS i, lag(signal) OVER {keyed}) AS before, sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) OVER {keyed} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / (sum(CASE WHEN ret > 0 THEN 0 ELSE -ret END) OVER {keyed} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) + 1e-30) AS lg, sum(CASE WHEN ret > 0 THEN 0 ELSE -ret END) OVER {keyed} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / (sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) OVER {keyed} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1e-30) AS sh FROM sig), b AS (SELECT symbol, any_value(spearman) AS spearman, max_by(signal, (lg, -i)) FILTER (WHERE i = 0 OR (signal <> before AND n - i >= greatest(floor(n * 0.1e0), 1))) AS lt, max(lg) FILTER (WHERE i = 0 OR (signal <> before AND n - i >= greatest(floor(n * 0.1e0), 1))) AS lp, max_by(signal, (sh, -i)) FILTER (WHERE i > 0 AND signal <> before AND i >= greatest(floor(n * 0.1e0), 1)) AS st, max(sh) FILTER (WHERE i > 0 AND signal <> before AND i >= greatest(floor(n * 0.1e0), 1)) AS sp, max(signal) AS top FROM sw GROUP BY symbol)"
@@ -333,6 +340,7 @@ def oracle_sql() -> dict[str, str]:
         "sample_weights": _with(SUPPLIER, _LABELS, _OPEN, sums, f" SELECT d.symbol, d.ts, {_r('abs(sum(coalesce(ch, 0) / n_open))')} AS sample_weight FROM done d JOIN line c ON c.symbol = d.symbol AND c.ts BETWEEN d.ts AND d.hit_date GROUP BY d.symbol, d.ts"),
         "add_sample_weights": _with(SUPPLIER, _LABELS, _OPEN, sums, f", sw AS (SELECT d.symbol, d.ts, abs(sum(coalesce(ch, 0) / n_open)) AS w FROM done d JOIN line c ON c.symbol = d.symbol AND c.ts BETWEEN d.ts AND d.hit_date GROUP BY d.symbol, d.ts) SELECT b.symbol, b.ts, {_r('w')} AS sample_weight FROM bars b LEFT JOIN sw ON sw.symbol = b.symbol AND sw.ts = b.ts"),
         "threshold_study": _with(FLAG, ", ", PAIRS, study, rank_rows, per, study_out),
+        "pooled_threshold_study": _with(FLAG, ", ", PAIRS, shared, rank_rows, per, pooled),
         "optimal_threshold": _with(FLAG, ", ", PAIRS, ", ", rho, best, f" SELECT symbol, {_r('spearman')} AS spearman, {_r('lt')} AS long_threshold, {_r('lp')} AS long_pf, {_r('coalesce(st, top)')} AS short_threshold, {_r('coalesce(sp, -1)')} AS short_pf, {_r('greatest(lp, coalesce(sp, -1))')} AS best_pf FROM b"),
         "performance": _with(SUPPLIER, f", p AS (SELECT symbol, ts, close, close / lag(close) OVER {_W} - 1 AS r, close / max(close) OVER {unbounded} - 1 AS d FROM bars) SELECT symbol, {_r('max_by(close, ts) / min_by(close, ts) - 1')} AS total_return, {_r('stddev_samp(r) * sqrt(252e0)')} AS volatility, {_r('avg(r) * sqrt(252e0) / nullif(stddev_samp(r), 0)')} AS sharpe, {_r('min(d)')} AS max_drawdown FROM p GROUP BY symbol"),
         "return_correlations": _with(FLAG, f", r AS (SELECT * FROM (SELECT symbol, ts, close / lag(close) OVER {_W} - 1 AS r FROM bars) WHERE r IS NOT NULL) SELECT x.symbol AS a, y.symbol AS b, count(*) AS n, {_r('covar_pop(x.r, y.r) / sqrt(var_pop(x.r) * var_pop(y.r))')} AS corr FROM r x JOIN r y ON x.ts = y.ts AND x.symbol < y.symbol GROUP BY ALL"),
