@@ -236,6 +236,8 @@ def test_importance(bars):
     assert mdi["f1"] > (mdi["f2"] or 0) and sum(v or 0 for v in mdi.values()) == pytest.approx(1)
     mda = {r["feature"]: r["mean"] for r in E.feature_importance_mda(made, ["f1", "f2"], "y", scoring="accuracy", n_splits=2, trees=5).collect()}
     assert mda["f1"] > mda["f2"]
+    scores = E.cv_scores(made, ["f1"], "y", scoring="accuracy", n_splits=2, trees=5)
+    assert len(scores) == 2 and min(scores) > 0.8
     with pytest.raises(ValueError):
         E.cv_scores(made, ["f1"], "y", scoring="nothing")
 

@@ -339,6 +339,13 @@ def oracle_sql() -> dict[str, str]:
         "average_uniqueness": _with(SUPPLIER, _LABELS, _OPEN, f" SELECT d.symbol, d.ts, {_r('avg(1e0 / n_open)')} AS uniqueness FROM done d JOIN counted c ON c.symbol = d.symbol AND c.ts BETWEEN d.ts AND d.hit_date GROUP BY d.symbol, d.ts"),
         "sample_weights": _with(SUPPLIER, _LABELS, _OPEN, sums, f" SELECT d.symbol, d.ts, {_r('abs(sum(coalesce(ch, 0) / n_open))')} AS sample_weight FROM done d JOIN line c ON c.symbol = d.symbol AND c.ts BETWEEN d.ts AND d.hit_date GROUP BY d.symbol, d.ts"),
         "add_sample_weights": _with(SUPPLIER, _LABELS, _OPEN, sums, f", sw AS (SELECT d.symbol, d.ts, abs(sum(coalesce(ch, 0) / n_open)) AS w FROM done d JOIN line c ON c.symbol = d.symbol AND c.ts BETWEEN d.ts AND d.hit_date GROUP BY d.symbol, d.ts) SELECT b.symbol, b.ts, {_r('w')} AS sample_weight FROM bars b LEFT JOIN sw ON sw.symbol = b.symbol AND sw.ts = b.ts"),
+        "purged_folds": _with(
+            HOURLY, f", placed AS (SELECT symbol, ts, coalesce(lead(ts) OVER {_W}, ts) AS t1, row_number() OVER {_W} - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM bars)",
+            ", rows3 AS MATERIALIZED (SELECT *, CAST(CASE WHEN pos < n % 3 * (n // 3 + 1) THEN pos // (n // 3 + 1) ELSE n % 3 + (pos - n % 3 * (n // 3 + 1)) // greatest(n // 3, 1) END AS INTEGER) AS mine FROM placed)",
+            ", edges AS (SELECT symbol, mine AS fold, min(ts) AS s, max(t1) AS e, any_value(n) AS n FROM rows3 GROUP BY symbol, mine)",
+            ", cut AS (SELECT *, coalesce((SELECT min(pos) FROM rows3 r WHERE r.symbol = edges.symbol AND r.ts >= edges.e), n) + floor(n * 0.01e0) AS again FROM edges)",
+            ", used AS (SELECT r.symbol, r.ts, c.fold, mine <> c.fold AND (t1 <= c.s OR pos >= c.again) AS is_train, mine = c.fold AS is_test FROM rows3 r JOIN cut c ON c.symbol = r.symbol) SELECT * FROM used WHERE is_train OR is_test",
+        ),
         "threshold_study": _with(FLAG, ", ", PAIRS, study, rank_rows, per, study_out),
         "pooled_threshold_study": _with(FLAG, ", ", PAIRS, shared, rank_rows, per, pooled),
         "optimal_threshold": _with(FLAG, ", ", PAIRS, ", ", rho, best, f" SELECT symbol, {_r('spearman')} AS spearman, {_r('lt')} AS long_threshold, {_r('lp')} AS long_pf, {_r('coalesce(st, top)')} AS short_threshold, {_r('coalesce(sp, -1)')} AS short_pf, {_r('greatest(lp, coalesce(sp, -1))')} AS best_pf FROM b"),
