@@ -541,6 +541,30 @@ def test_near_duplicates_left_over(spark):
     assert out.count() == 3050 and out.where("kept").count() == 1 and minhash.drop_near_duplicates(null).count() == 1
 
 
+def test_near_duplicates_pairs_of_a_large_group(spark, monkeypatch):
+    """Near copies of a text that isn't in the table, one class in many components at first: fewer pairs are left to compare than texts."""
+    rng, n = random.Random(4), 250
+    words, rows = [f"w{k}" for k in range(150)], []
+    for k in range(n):
+        text = list(words)
+        for at in rng.sample(range(150), 2):
+            text[at] = f"y{rng.randrange(10**6)}"
+        rows.append((k, " ".join(text)))
+    sets = [shingles(t) for _, t in rows]
+    comp = components_of([(a, b) for a in range(n) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8], n)
+    least, real, made = {c: min(k for k in range(n) if comp[k] == c) for c in comp}, minhash._left_pairs, []
+
+    def counted(*args):
+        pairs = real(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash, "_left_pairs", counted)
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in out} == {k: least[c] for k, c in enumerate(comp)}
+    assert made and made[0] < n, made
+
+
 def test_nodes_that_share_half_a_digest(spark, monkeypatch):
     real = minhash.content_digests
     monkeypatch.setattr(minhash, "content_digests", lambda c: np.stack([real(c)[:, 0] & 3, real(c)[:, 1]], 1))

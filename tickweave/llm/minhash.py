@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickweave.llm.common import HOT, in_lots, join_hot, join_salted, materialize, text_of
@@ -19,9 +19,7 @@ from tickweave.llm.textnum import buffers, mix, shingle_hashes, word_hashes
 WIDTH, SIMILAR, BANDS, ROWS = 5, 0.8, 26, 5
 #: The first strip of ranks is [0, FIRST); each next one doubles the rank. Regions looked at in one go.
 FIRST, REGIONS = 2.0**-8, 1 << 18
-#: Ranges of hashes in which the shingles that can be common to two texts are counted, a power of 2.
-PARTS = 32
-#: About so many nodes of a bucket are compared with others in one go.
+#: About so many nodes with a common difference are compared with others in one go.
 CHUNK = 1024
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -214,15 +212,18 @@ def _classes(base: DataFrame, similar: float, width: int, bands: int, rows: int,
     links = stars.where("link").select("a", "b")
     comps = materialize(components(links, least=False), "near-components")
     place = members.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = materialize(_several(place, members.count()).select("key", "node", "comp"), "near-rest")
+    rest = materialize(_several(place, members.count()), "near-rest")
     if not rest.isEmpty():
-        pairs = _left_pairs(rest, sets, similar).join(stars.select("a", "b"), ["a", "b"], "left_anti")
-        more = checked(pairs).where("link")
-        names = [rest.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}")).distinct() for side in "ab"]
-        over = components(more.join(names[0], "a").join(names[1], "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), least=False)
+        names, deltas = _deltas(rest, sets)
+        sure = checked(_sure_pairs(names, similar)).where("link").select("a", "b")
+        names = materialize(_merged(names, sure), "near-names")
+        more = checked(_left_pairs(names, deltas, similar).join(stars.select("a", "b"), ["a", "b"], "left_anti")).where("link").select("a", "b")
+        ends = [names.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}")) for side in "ab"]
+        over = components(more.join(ends[0], "a").join(ends[1], "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")), least=False)
+        last = names.select("old", "comp").distinct().join(over.select(F.col("node").alias("comp"), F.col("comp").alias("far")), "comp", "left").select(F.col("old").alias("comp"), F.coalesce("far", "comp").alias("far"))
         comps = nodes.select("node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        comps = comps.join(over.select(F.col("node").alias("comp"), F.col("comp").alias("far")), "comp", "left").select("node", F.coalesce("far", "comp").alias("comp"))
-        links = links.unionByName(more.select("a", "b"))
+        comps = comps.join(last, "comp", "left").select("node", F.coalesce("far", "comp").alias("comp"))
+        links = links.unionByName(sure).unionByName(more)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     whole = nodes.select("node", "copy_id", "n").join(comps, "node", "left").join(degree, "node", "left")
     whole = materialize(whole.select("node", "copy_id", "n", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "near-comps")
@@ -236,49 +237,108 @@ def _classes(base: DataFrame, similar: float, width: int, bands: int, rows: int,
 
 
 def _several(place: DataFrame, total: int) -> DataFrame:
-    """The rows (key, node, comp, ...), ``total`` at most, of keys that hold several components, with n, the key's rows."""
-    keys = place.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("key", "n")
-    return join_hot(place, keys, ["key"], F.col("n") >= max(2, -(-total // HOT)), ["node"], "inner")
+    """The rows (key, node, comp), ``total`` at most, of keys that hold several components, with c0, the key's least component."""
+    keys = place.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("key", "c0", "n")
+    return join_hot(place, keys, ["key"], F.col("n") >= max(2, -(-total // HOT)), ["node"], "inner").select("key", "node", "comp", "c0")
 
 
-def _left_pairs(rest: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes that share a bucket but no component, as far as bounds on their common regions allow ``similar``.
+def _deltas(rest: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bundles of the nodes in ``rest``, and how each node differs from its bundle: the regions that more than half of its nodes have.
 
-    A region that only one component has can't be common to a pair that is looked for here. A node stays where its other regions
-    alone could make up the similarity. Of a bucket's nodes that stay, those outside of its largest component are paired with all of
-    other components: the bucket's nodes are dealt to chunks of about CHUNK, so a large bucket is many tasks' work; a pair is
-    made where the lesser counts of both, added up over PARTS ranges of regions, allow the similarity. All bounds are exact.
+    A bundle is all that buckets in ``rest`` join, so nodes of one bucket, or one component, are in one bundle. Returns names (node,
+    comp, k: the component's nodes, bundle, n: the bundle's nodes, size: the node's regions, d: its differences), and (node, key) for
+    each difference: a region that only the node or only the bundle has. In near copies these are few where their regions are many.
     """
 
     def spread_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            each = [np.frombuffer(x.as_py(), np.int64) for x in b.column(2)]
-            times = [len(x) for x in each]
-            node, comp = (np.repeat(b.column(i).to_numpy(), times) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(comp), pa.array(np.concatenate(each) if each else np.zeros(0, np.int64))], names=["node", "comp", "region"])
-
-    mine = sets.join(rest.select("node", "comp").distinct(), "node").select("node", "comp", "set")
-    spread = materialize(mine.mapInArrow(spread_sets, "node long, comp long, region long"), "near-regions")
-    common = spread.groupBy("region").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("times")).where("c0 <> c1").select("region", "times")
-    heavy = F.col("times") >= max(2, -(-spread.count() // HOT))
-    both = join_hot(spread.select("node", "region"), common, ["region"], heavy, ["node"])
-    part = F.pmod("region", F.lit(PARTS))
-    count = both.groupBy("node", part.alias("part")).agg(F.count("*").alias("size"), F.count("times").alias("common"))
-    bound = count.groupBy("node").agg(F.sum("size").alias("size"), F.sum("common").alias("common"), F.map_from_entries(F.collect_list(F.struct("part", "common"))).alias("by_part"))
-    bound = bound.where(F.col("common") >= similar * F.col("size") - 1e-9).select("node", "size", "common", "by_part")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.coalesce(F.try_element_at("by_part", k.cast("long")), F.lit(0).cast("long")))
-    stay = materialize(_several(rest.join(bound.select("node", "size", "common", parts.alias("parts")), "node"), rest.count()), "near-stay").drop("n")
-    per = stay.groupBy("key", "comp").agg(F.count("*").alias("k"))
-    per = per.groupBy("key").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), (1 + F.floor(F.sum("k") / CHUNK)).cast("int").alias("chunks"))
-    stay = stay.join(per, "key").withColumn("outer", F.col("comp") != F.col("main"))
-    cols = ["node", "comp", "size", "common", "parts", "outer"]
+        for b in in_lots(batches, 1):
+            each = [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)]
+            bundle = np.repeat(b.column(0).to_numpy(), [len(x) for x in each])
+            yield pa.RecordBatch.from_arrays([pa.array(bundle), pa.array(np.concatenate([*each, np.zeros(0, np.int64)]))], names=["bundle", "region"])
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_lots(batches, 2):
+            mine = [np.frombuffer(x.as_py(), np.uint64) for x in b.column(2)]
+            usual = [x.values.to_numpy().view(np.uint64) if x.is_valid else np.zeros(0, np.uint64) for x in b.column(3)]
+            salts = mix(b.column(1).to_numpy().view(np.uint64) ^ _B)
+            keys = [mix(np.setxor1d(x, y) ^ salt).view(np.int64) for x, y, salt in zip(mine, usual, salts, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in mine], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "size", "keys"])
+
+    of_comp = components(rest.where("comp <> c0").select(F.col("c0").alias("a"), F.col("comp").alias("b")), least=False).select(F.col("node").alias("comp"), F.col("comp").alias("bundle"))
+    names = materialize(rest.select("node", "comp").distinct(), "near-names")
+    most = max(2, -(-names.count() // HOT))
+    table = materialize(names.groupBy("comp").agg(F.count("*").alias("k")).join(of_comp, "comp"), "near-bundles")
+    bundles = table.groupBy("bundle").agg(F.sum("k").alias("n"))
+    names = join_hot(names, table, ["comp"], F.col("k") >= most, ["node"], "inner")
+    names = materialize(join_hot(names, bundles, ["bundle"], F.col("n") >= most, ["node"], "inner"), "near-names")
+    held = sets.join(names, "node").select("bundle", "set").mapInArrow(spread_sets, "bundle long, region long").groupBy("bundle", "region").agg(F.count("*").alias("times")).where("times > 1")
+    held = join_hot(held, bundles, ["bundle"], F.col("n") >= most, ["region"], "inner").where(2 * F.col("times") > F.col("n"))
+    usual = held.groupBy("bundle").agg(F.collect_list("region").alias("usual"), F.first("n").alias("of"))
+    with_usual = join_hot(names.select("node", "bundle"), usual, ["bundle"], F.col("of") >= most, ["node"]).join(sets, "node")
+    found = materialize(with_usual.select("node", "bundle", "set", "usual").mapInArrow(differences, "node long, size long, keys array<long>"), "near-deltas")
+    names = materialize(names.join(found.select("node", "size", F.size("keys").alias("d")), "node"), "near-names")
+    return names, found.select("node", F.explode("keys").alias("key"))
+
+
+def _slack(similar: float) -> Column:
+    """Two nodes of a bundle are similar if and only if their slacks and twice the number of their common differences make up 0 or more.
+
+    For a similarity of s, the regions that only one of two sets has are at most (1 - s) / (1 + s) of both sizes.
+    """
+    return F.col("size") * ((1 - similar) / (1 + similar)) - F.col("d")
+
+
+def _tops(names: DataFrame, similar: float) -> DataFrame:
+    """``names`` with slack and top: the slack, node and comp of the bundle's node of the most slack."""
+    own = names.withColumn("slack", _slack(similar))
+    tops = own.groupBy("bundle").agg(F.max(F.struct("slack", "node", "comp")).alias("top"), F.count("*").alias("of"))
+    return join_hot(own, tops, ["bundle"], F.col("of") >= max(2, -(-names.count() // HOT)), ["node"], "inner").drop("of")
+
+
+def _sure_pairs(names: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b), a the top of b's bundle, of different components, that are similar even without common differences.
+
+    Nodes that are similar to each other for their slacks alone are both similar to the top, so a bundle needs a pair a node.
+    """
+    sure = _tops(names, similar).where((F.col("slack") + F.col("top.slack") >= -1e-9) & (F.col("comp") != F.col("top.comp")))
+    return sure.select(F.col("top.node").alias("a"), F.col("node").alias("b"))
+
+
+def _merged(names: DataFrame, sure: DataFrame) -> DataFrame:
+    """``names`` where the components of each b in ``sure`` (a, b) have become part of a's, the same for all of a bundle; old: comp as it was."""
+    ends = [names.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}"), F.col("k").alias(f"k_{side}")) for side in "ab"]
+    over = sure.join(ends[0], "a").join(ends[1], "b").groupBy(F.col("comp_b").alias("comp")).agg(F.min("comp_a").alias("into"), F.min("k_b").alias("all"))
+    out = join_hot(names, over, ["comp"], F.col("all") >= max(2, -(-names.count() // HOT)), ["node"])
+    return out.withColumn("old", F.col("comp")).withColumn("comp", F.coalesce("into", "comp")).drop("into", "all")
+
+
+def _left_pairs(names: DataFrame, deltas: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of a bundle but of different components, as far as their first common difference allows ``similar``.
+
+    A node's differences are put in order, first those that only one component has, then the rarer ones. Where two nodes' first common
+    one is at places p and q, at most the lesser of d - p of one and d - q of the other are common. So a pair is looked for by
+    differences that come early, most of them rare. Of the nodes that have one, those outside of its largest component are paired with
+    all of other components: they are dealt to chunks of about CHUNK, so a frequent difference is many tasks' work. All bounds are exact.
+    """
+    own = _tops(names, similar).select("node", "comp", "size", "d", "slack", F.col("top.slack").alias("top"))
+    each = materialize(deltas.join(own, "node"), "near-differences")
+    most = max(2, -(-each.count() // HOT))
+    common = each.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("times")).where("c0 <> c1").select("key", "times")
+    each = join_hot(each, common, ["key"], F.col("times") >= most, ["node"])
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("times", F.lit(0)), "key")) - 1
+    early = each.withColumn("left", F.col("d") - place).where(F.col("times").isNotNull() & (2 * F.col("left") + F.col("slack") + F.col("top") >= -1e-9))
+    early = materialize(early.select("key", "node", "comp", "size", "slack", "left"), "near-early")
+    per = early.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key")
+    per = per.agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.sum("k").alias("n"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    early = join_hot(early, per, ["key"], F.col("n") >= most, ["node"], "inner").withColumn("chunks", (1 + F.floor(F.col("n") / CHUNK)).cast("int")).withColumn("outer", F.col("comp") != F.col("main"))
+    cols = ["node", "comp", "size", "slack", "left", "outer"]
     named = lambda df, side: df.select("key", "chunk", *[F.col(c).alias(f"{c}_{side}") for c in cols])
-    a = named(stay.where("outer").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))), "a")
-    b = named(stay.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "b")
-    enough = lambda most: most >= similar * (F.col("size_a") + F.col("size_b") - most) - 1e-9
-    shared = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda x, y: x + y)
+    a = named(early.where("outer").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))), "a")
+    b = named(early.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "b")
     once = ~F.col("outer_b") | (F.col("node_a") < F.col("node_b"))
-    pairs = a.join(b, ["key", "chunk"]).where((F.col("comp_a") != F.col("comp_b")) & once & enough(F.least("common_a", "common_b")) & enough(shared))
+    enough = 2 * F.least("left_a", "left_b") + F.col("slack_a") + F.col("slack_b") >= -1e-9
+    sized = F.least("size_a", "size_b") >= similar * F.greatest("size_a", "size_b") - 1e-9
+    pairs = a.join(b, ["key", "chunk"]).where((F.col("comp_a") != F.col("comp_b")) & once & enough & sized)
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
